@@ -179,7 +179,8 @@ def near_duplicates(documents: DataFrame, threshold: int = 85, cell_shingles: in
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     cells = other.select(F.xxhash64("label", low, high).alias("cell"), F.when(low == F.col("part"), 0).otherwise(1).alias("side"), F.col("node").alias("doc_id"), "d")
-    texts = cells.join(rows, "doc_id").select("cell", "side", "doc_id", "d", "text")
+    # Merged at every size: a broadcast of the cells would only do for small inputs.
+    texts = cells.hint("merge").join(rows, "doc_id").select("cell", "side", "doc_id", "d", "text")
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     links = texts.repartition(tasks, "cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_cells(threshold), "u long, v long")
