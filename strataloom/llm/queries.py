@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import fingerprints, line_dedup, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+    "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
 }
-ORACLES: dict[str, str] = {}
