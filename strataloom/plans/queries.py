@@ -290,7 +290,7 @@ def blended_scores(spark, d):
     return _scored(spark, d).select("qname", "callers", "churn", F.round("score", 6).alias("score"))
 
 
-_LINE = """'  :' || rpad(line::VARCHAR, greatest(5, length(line::VARCHAR)), ' ') || ' function ' || name
+_LINE = """'  :' || rpad(line::VARCHAR, greatest(5, length(line::VARCHAR))::INTEGER, ' ') || ' function ' || name
   || CASE WHEN callers > 0 AND churn > 0 THEN '  (callers: ' || callers || ', churn: ' || churn || ')' WHEN callers > 0 THEN '  (callers: ' || callers || ')' WHEN churn > 0 THEN '  (churn: ' || churn || ')' ELSE '' END || chr(10)"""
 _CHOSEN = f"""lined AS (SELECT qname, file, line, round(score, 9) AS score, callers, {_LINE} AS text FROM scored),
 costed AS (
