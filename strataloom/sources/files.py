@@ -159,7 +159,7 @@ def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     rows += parse(path, content or "")
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
+                except (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=columns)
 
