@@ -31,6 +31,7 @@ def reached(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     A seed is among its own nodes iff it lies on a cycle. most: greatest depth. Each round joins the
     frontier alone with the edges and takes out what was seen; the driver asks whether rows are left.
     """
+    edges = materialised(edges.select("src", "dst"))  # read anew each round
     frontier = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
     seen, depth = None, 0
     while most is None or depth < most:
@@ -53,7 +54,7 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     """(qname, distance): least number of hops from any of seeds(seed) in either direction; seeds at 0."""
-    both = edges.select("src", "dst").union(reverse(edges)).distinct()
+    both = materialised(edges.select("src", "dst").union(reverse(edges)).distinct())
     start = seeds.select(F.col("seed").alias("qname")).distinct().withColumn("distance", F.lit(0))
     out, frontier = start, start
     for depth in range(1, most + 1):
@@ -71,6 +72,7 @@ def trace(edges: DataFrame, entry: DataFrame, depth: int = 4, most: int = 250) -
     Position is that of a queue that takes callees by name: by depth, then the caller's position, then
     name. It is cut where a node at the last depth has a callee not yet seen, or at most nodes.
     """
+    edges = materialised(edges.select("src", "dst"))
     level = materialised(entry.select(F.col("seed").alias("qname")).withColumn("depth", F.lit(0)).withColumn("position", F.lit(1).cast("long")))
     out, count = level, level.count()
     for d in range(1, depth + 1):
@@ -105,6 +107,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
     round, no join with the node table: every edge carries 1 / out-degree, and each node one row of 0 to
     itself so that it stays; every few rounds the ranks are materialised.
     """
+    edges = materialised(edges.select("src", "dst"))
     nodes = materialised(node_set(edges) if nodes is None else nodes.select("qname").union(node_set(edges)).distinct())
     n = nodes.count()
     if not n:

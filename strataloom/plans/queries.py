@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..functions.storage import materialised
 from ..operators import changes, graph, history, ranking, resolve
 from . import relations as R
 
@@ -111,7 +112,7 @@ _CORE = "core_edges AS (SELECT * FROM supply_edges WHERE src[1] IN ('p', 's', 'n
 
 @query("g1_pagerank_dangling", _pagerank_sql("core_edges", "1.0 / (SELECT n FROM total)").replace("round(r, 6)", "round(r, 8)"), True, R.SUPPLY_EDGES, _CORE)
 def pagerank_dangling(spark, d):
-    edges = R.supply_edges(spark, d).where(F.substring("src", 1, 1).isin("p", "s", "n"))
+    edges = R.supply_edges(spark, d, "psn")
     return graph.pagerank(edges).select("qname", F.round("rank", 8).alias("rank"))
 
 
@@ -425,7 +426,7 @@ layer_symbols AS (SELECT q AS qname, CASE WHEN q[1] = 'p' THEN 'parts/f' || (sub
 
 
 def _layers(spark, d):
-    edges = R.supply_edges(spark, d).where(F.substring("src", 1, 1).isin("p", "s", "n"))
+    edges = materialised(R.supply_edges(spark, d, "psn"))
     q = graph.node_set(edges)
     first, number = F.substring("qname", 1, 1), F.expr("cast(substring(qname, 2) as bigint)")
     folder = F.when(first == "p", F.concat(F.lit("parts/f"), (number % 7).cast("string"))).when(first == "s", F.concat(F.lit("suppliers/f"), (number % 5).cast("string"))).otherwise(F.concat(F.lit("places/f"), first))

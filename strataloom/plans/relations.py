@@ -14,10 +14,10 @@ def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def supply_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Acyclic: customer to order to part to supplier to nation to region."""
+def supply_edges(spark: SparkSession, d: str, layers: str = "copsn") -> DataFrame:
+    """Acyclic: customer to order to part to supplier to nation to region; layers: the first letters of wanted sources."""
     pairs = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
-    parts = [read(spark, d, t).select(_id(a, x).alias("src"), _id(b, y).alias("dst")).distinct() for t, a, x, b, y in pairs]
+    parts = [read(spark, d, t).select(_id(a, x).alias("src"), _id(b, y).alias("dst")).distinct() for t, a, x, b, y in pairs if a in layers]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
