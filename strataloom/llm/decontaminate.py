@@ -17,7 +17,7 @@ from .shared import table
 #: Tokens that a tile has at least, and the share of a benchmark text's tokens that tiles must cover to call a document contaminated.
 MIN_MATCH, COVERAGE = 5, 0.6
 #: Characters of benchmark text that one pass over the documents carries along; larger benchmarks take more passes.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Seed pairs up to which a document and a text are tiled from all their maximal matches at once.
 SEED_PAIRS = 2_000_000
 _WORD = re.compile(r"\w+")
