@@ -113,3 +113,9 @@ def context_pack(near: DataFrame, scored: DataFrame, symbols: DataFrame, files:
 def joined_text(items: DataFrame, text: Column, name: str) -> DataFrame:
     """One row: the items' texts by position."""
     return items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", text.alias("t")))), lambda r: r["t"]), "").alias(name))
+
+
+def precise_candidates(scored: DataFrame, impacts: DataFrame, most: int = 300) -> DataFrame:
+    """The callables that a costly analyser should look at first: by rank, impact, callers, then qname. impacts(qname, impact)."""
+    rows = scored.where(F.col("kind").isin("function", "method", "macro")).join(impacts, "qname", "left").withColumn("impact", F.coalesce("impact", F.lit(0)))
+    return rows.orderBy(F.desc("rank"), F.desc("impact"), F.desc("callers"), "qname").limit(most).select("qname", "rank", "impact", "callers")

@@ -550,3 +550,79 @@ def clamped_depth(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     cum = e.withColumn("cum", F.sum("step").over(w))
     return cum.select("event_id", (F.col("cum") - F.least(F.lit(0), F.min("cum").over(w))).alias("depth"))
+
+
+# ---- predicates, statistics, route paths ----------------------------------------------------------------
+
+
+@query(
+    "a5_graph_stats",
+    "SELECT count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS definitions, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM event_symbols",
+    False,
+    R.EVENT_EDGES,
+    R.EVENT_SYMBOLS,
+)
+def graph_stats(spark, d):
+    return R.event_symbols(spark, d).agg(F.countDistinct("file").alias("files"), F.count("*").alias("definitions"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("t15_precise_candidates", """, calls AS (SELECT dst AS q, count(DISTINCT src) AS c FROM event_edges GROUP BY dst)
+SELECT qname, coalesce(c, 0)::BIGINT AS callers FROM event_symbols LEFT JOIN calls ON q = qname ORDER BY coalesce(c, 0) DESC, qname LIMIT 30""", False, R.EVENT_EDGES, R.EVENT_SYMBOLS)
+def precise_candidates(spark, d):
+    counts = graph.caller_counts(R.event_edges(spark, d))
+    scored = ranking.scored_symbols(R.event_symbols(spark, d), counts.select("qname", F.col("callers").cast("double").alias("rank")), counts, None)
+    return ranking.precise_candidates(scored, counts.select("qname", F.col("callers").alias("impact")), 30).select("qname", "callers")
+
+
+_PATHS = """paths AS (
+  SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'src/x' || user_id || '_test.go' WHEN 1 THEN 'tests/u' || user_id || '.py' WHEN 2 THEN 'a/' || event_type || '.spec.ts' WHEN 3 THEN 'b/Test_' || user_id || '.js'
+    WHEN 4 THEN 'benches/b' || user_id || '.rs' WHEN 5 THEN 'benches/b' || user_id || '.go' WHEN 6 THEN 'latest/' || event_type || '.py' WHEN 7 THEN 'e2e/' || event_type || '/x.ts' ELSE 'm/' || event_type || '.tftest.hcl' END AS path FROM events)"""
+
+
+@query("p4_test_files", "SELECT event_id, event_id % 9 NOT IN (5, 6) AS test FROM paths", False, _PATHS)
+def test_files(spark, d):
+    e, user, kind = R.read(spark, d, "events"), F.col("user_id").cast("string"), F.col("event_type")
+    forms = [
+        F.concat(F.lit("src/x"), user, F.lit("_test.go")), F.concat(F.lit("tests/u"), user, F.lit(".py")), F.concat(F.lit("a/"), kind, F.lit(".spec.ts")), F.concat(F.lit("b/Test_"), user, F.lit(".js")), F.concat(F.lit("benches/b"), user, F.lit(".rs")),
+        F.concat(F.lit("benches/b"), user, F.lit(".go")), F.concat(F.lit("latest/"), kind, F.lit(".py")), F.concat(F.lit("e2e/"), kind, F.lit("/x.ts")), F.concat(F.lit("m/"), kind, F.lit(".tftest.hcl")),
+    ]
+    path = F.get(F.array(*forms), (F.col("event_id") % 9).cast("int"))
+    return e.select("event_id", P.is_test_file(path).alias("test"))
+
+
+@query(
+    "s47_route_paths",
+    """SELECT p_partkey, '/' || CASE p_size % 5 WHEN 0 THEN ':k' || p_size WHEN 1 THEN ':k' || p_size || '*' WHEN 2 THEN 'blog' WHEN 3 THEN 'blog/:k' || p_size ELSE 'v' || p_size END AS path FROM part""",
+)
+def route_paths(spark, d):
+    from ..sources.routes import next_app_path
+
+    size = F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("["), F.lit("k"), size, F.lit("]")), F.concat(F.lit("[...k"), size, F.lit("]")), F.lit("(group)/blog"), F.concat(F.lit("blog/@slot/[k"), size, F.lit("=int]")), F.concat(F.lit("_private/v"), size)]
+    path = F.concat(F.lit("src/app/"), F.get(F.array(*forms), (F.col("p_size") % 5).cast("int")), F.lit("/page.tsx"))
+    return R.read(spark, d, "part").select("p_partkey", next_app_path(path).alias("path"))
+
+
+@query(
+    "f3_identifiers",
+    """SELECT n_nationkey, n_name AS name FROM nation""",
+)
+def identifiers(spark, d):
+    quoted = F.concat(F.lit('"public".['), "n_name", F.lit("]"))
+    return R.read(spark, d, "nation").select("n_nationkey", S.clean_identifier(quoted).alias("name"))
+
+
+@query(
+    "f16_json_fields",
+    """SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""",
+)
+def json_fields(spark, d):
+    return R.read(spark, d, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
+
+
+@query("p10_confidence", """SELECT s.qname, CASE WHEN s.kind = 'method' THEN 'low' WHEN s.name < 'd' THEN 'high' ELSE 'medium' END AS confidence FROM event_symbols s""", False, R.EVENT_EDGES, R.EVENT_SYMBOLS)
+def confidence(spark, d):
+    s = R.event_symbols(spark, d)
+    name = F.when(F.col("name") < "d", F.col("name")).otherwise(F.initcap("name"))
+    exported = P.is_exported(F.col("lang"), name, F.col("public"))
+    return s.select("qname", P.orphan_confidence(P.callable_kind(F.col("kind"), F.col("recv")), exported, False).alias("confidence"))

@@ -70,6 +70,13 @@ class Repository:
         log = self._log or gitlog.parse_log(gitlog.log_lines(self.spark, self.root, max_commits))
         return history.file_history(*log, max_commits)
 
+    def stats(self) -> dict:
+        """Files read, their languages, definitions, edges, and references that no symbol answers."""
+        g = self.graph
+        row = g.symbols.agg(F.countDistinct("file").alias("files"), F.array_sort(F.collect_set("lang")).alias("langs"), F.count("*").alias("definitions")).first()
+        unresolved = resolve.unresolved_count(g.resolved).first()["unresolved"] if g.resolved is not None else 0
+        return row.asDict() | {"edges": g.edges.count(), "unresolved": unresolved}
+
     def _notes(self) -> str:
         g = self.graph
         if g.by_pattern:
@@ -78,8 +85,15 @@ class Repository:
         big = [r["path"] for r in files_.oversize(self.files).orderBy("path").limit(5).collect()]
         if big:
             notes.append("Too large to read: " + ", ".join(big))
+        langs = {r["lang"] for r in g.symbols.select("lang").distinct().collect()}  # a few names
+        if "hcl" in langs:
+            notes.append("HCL edges follow addresses, module sources and includes; nothing is evaluated.")
+        if langs & {"html", "svelte"}:
+            notes.append("Template edges go by name.")
         if not g.edges.where("proven").isEmpty():
             notes.append("Edges marked proven come from a semantic analyser.")
+        elif langs & {"go", "rust"}:
+            notes.append("An analyser's edges for Go and Rust can be given as a table.")
         return " ".join(notes)
 
     def _matched(self, query: str) -> tuple[str | None, list[str]]:
@@ -112,6 +126,7 @@ class Repository:
             "symbol": symbol,
             "matched_symbol": qname,
             "candidates": candidates,
+            "ambiguous": bool(candidates),
             "direct_callers": behind.where("depth = 1").select(F.col("node").alias("qname")).orderBy("qname"),
             "transitive_callers": behind.select(F.col("node").alias("qname"), "depth").orderBy("qname"),
             "at_risk_tests": changes.at_risk_tests(behind, self.graph.symbols).orderBy("qname"),

@@ -64,11 +64,35 @@ def references(tags: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("file", "nth").alias("ref_id"), F.col("qname").alias("caller_qname"), F.col("file").alias("caller_file"), "callee_name", "callee_recv", "allow_bare")
 
 
+def path_prefixes(files: DataFrame) -> DataFrame:
+    """(prefix, target) of tsconfig.json path patterns 'x/*' with one target 'y/*'; a bounded table of settings."""
+    text = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$", ""), r",(\s*[}\]])", "$1")
+    parsed = F.from_json(text, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")
+    found = files.where(F.col("path").rlike(r"(?:^|/)tsconfig\.json$")).select(F.regexp_replace("path", "tsconfig.json$", "").alias("dir"), parsed.alias("c"))
+    rows = found.select("dir", F.col("c.compilerOptions.baseUrl").alias("base"), F.explode("c.compilerOptions.paths").alias("prefix", "targets"))
+    rows = rows.where(F.col("prefix").endswith("/*") & (F.size("targets") == 1) & F.get("targets", F.lit(0)).endswith("/*"))
+    base = F.regexp_replace(F.concat_ws("/", F.coalesce("base", F.lit(".")), F.regexp_replace(F.get("targets", F.lit(0)), r"\*$", "")), r"(^|/)(?:\./)+", "$1")
+    return rows.select(F.regexp_replace("prefix", r"\*$", "").alias("prefix"), F.regexp_replace(F.concat("dir", base), "//+", "/").alias("target"))
+
+
 def imports(tags: DataFrame, files: DataFrame) -> DataFrame:
-    """imports(file, alias, target_file, target_name): of each import's candidate paths the first that exists, a file or a folder; of an alias the last import."""
-    rows = tags.where("row = 'import'").select("file", "alias", "target_name", "nth", F.posexplode("candidates").alias("choice", "target_file"))
+    """imports(file, alias, target_file, target_name): of each import's candidate paths the first that exists, a file or a folder; of an alias the last import.
+
+    A source that is no path goes by the longest tsconfig prefix that it starts with: a join on the prefix
+    with the settings broadcast, which are a few lines of a few files.
+    """
     from ...functions.scalars import dirname
 
+    rows = tags.where("row = 'import'").select("file", "alias", "target_name", "nth", "candidates")
+    named = F.get("candidates", F.lit(0)).startswith("alias:")
+    source = F.expr("substring(candidates[0], 7)")
+    prefixes = F.broadcast(path_prefixes(files))
+    by_prefix = rows.where(named).withColumn("source", source).join(prefixes, F.col("source").startswith(F.col("prefix")))
+    by_prefix = first_of(by_prefix, ["file", "nth"], [F.desc(F.length("prefix")), "target"])
+    base = F.concat("target", F.expr("substring(source, length(prefix) + 1)"))
+    meant = F.array(*(F.concat(base, F.lit(v)) for v in code.variants("")))
+    rows = rows.where(~named).unionByName(by_prefix.select("file", "alias", "target_name", "nth", meant.alias("candidates")))
+    rows = rows.select("file", "alias", "target_name", "nth", F.posexplode("candidates").alias("choice", "target_file"))
     there = files.select(F.col("path").alias("target_file")).union(files.select(dirname(F.col("path")))).distinct()
     found = first_of(rows.join(there, "target_file", "left_semi"), ["file", "nth"], ["choice"])
     return first_of(found, ["file", "alias"], [F.desc("nth")]).select("file", "alias", "target_file", "target_name")

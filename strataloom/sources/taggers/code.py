@@ -71,26 +71,20 @@ def python(path: str, text: str) -> FileTags:
     return out
 
 
+def variants(base: str) -> list[str]:
+    """Files that an import of base may mean, best first."""
+    return [base + e for e in _EXTENSIONS] + [f"{base}/index{e}" for e in _EXTENSIONS if e]
+
+
 def _candidates(path: str, source: str) -> list[str]:
-    """Repository paths that an import may mean, best first."""
+    """Repository paths that an import may mean, best first; 'alias:' and the source where only a tsconfig can tell."""
     if source.startswith(("@/", "~/")):
         bases = [joined("src", source[2:]), joined(source[2:])]
     elif source.startswith("."):
         bases = [joined(folder(path), source)]
     else:
-        return []
-    out = []
-    for base in filter(None, bases):
-        out += [base + e for e in _EXTENSIONS] + [f"{base}/index{e}" for e in _EXTENSIONS if e]
-    return out
-
-
-def alias_candidates(paths: dict[str, list[str]], source: str) -> list[str]:
-    """The same for prefixes of a tsconfig's paths with one target each, 'x/*': ['y/*']."""
-    for key, targets in paths.items():
-        if key.endswith("/*") and len(targets) == 1 and targets[0].endswith("/*") and source.startswith(key[:-1]):
-            return _candidates("", "./" + targets[0][:-1].removeprefix("./") + source[len(key) - 1 :])
-    return []
+        return ["alias:" + source]
+    return [v for base in bases if base for v in variants(base)]
 
 
 def _js_imports(path: str, code: str) -> list[Import]:

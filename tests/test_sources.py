@@ -298,3 +298,30 @@ def test_lexical():
     s = lexical.Strings("x = 'abc' + y")
     assert s.holds(6) and not s.holds(1) and not s.holds(12)
     assert lexical.joined("a/b", "../c") == "a/c" and lexical.joined("a", "../../c") is None and list(lexical.above("a/b/c.hcl")) == ["a", ""]
+
+
+def test_tsconfig_prefixes(spark):
+    rows = {
+        "tsconfig.json": '{\n  // settings\n  "compilerOptions": {"baseUrl": ".", "paths": {"#lib/*": ["./code/lib/*"], "two/*": ["a/*", "b/*"], },}\n}',
+        "code/lib/f.ts": "export function f() {}\n",
+        "app.ts": "import { f } from '#lib/f'\nimport x from 'react'\nfunction run() { f() }\n",
+    }
+    assert [tuple(r) for r in taggers.path_prefixes(files_.from_rows(spark, rows)).collect()] == [("#lib/", "code/lib/")]
+    assert ("app.ts::run", "code/lib/f.ts::f") in edges(spark, rows)
+
+
+def test_cargo_metadata(spark, tmp_path):
+    import json
+
+    raw = {"workspace_members": ["a"], "packages": [{"id": "a", "name": "a", "manifest_path": f"{tmp_path}/rs/Cargo.toml", "dependencies": [{"name": "serde", "req": "^1", "kind": None}, {"name": "c", "req": "*", "kind": "dev"}], "targets": [{"name": "a", "kind": ["bin"], "src_path": f"{tmp_path}/rs/src/main.rs"}]}, {"id": "b", "name": "b", "manifest_path": "/x/Cargo.toml"}]}
+    rows, targets = manifests.cargo_metadata(json.dumps(raw), str(tmp_path))
+    assert targets == [("rs/Cargo.toml", "a", ["bin"], "rs/src/main.rs")]
+    over = spark.createDataFrame(rows, manifests.SCHEMA)
+    found = manifests.manifests(files_.from_rows(spark, {"rs/Cargo.toml": '[package]\nname="old"\n'}), over).collect()
+    assert [(m.module, [d.name for d in m.direct]) for m in found] == [("a", ["c", "serde"])]
+    assert manifests.manifests(files_.from_rows(spark, {"x.txt": ""}), over).count() == 0
+
+
+def test_stats(spark):
+    s = repo(spark, APP).stats()
+    assert s == {"files": 2, "langs": ["go"], "definitions": 4, "edges": 3, "unresolved": 0}
