@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +16,21 @@ def unique_by(symbols: DataFrame, keys: list[str], out: str) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.count("*").alias("n"), F.first("qname").alias(out)).where("n = 1").drop("n")
 
 
-class Tiers:
-    """Adds a column a tier to references by hash joins, keeps one row a reference."""
+#: Columns that a symbol is looked up by, each set a scope.
+SCOPES = {"file_name": ("file", "name"), "dir_name": ("dir", "name"), "name": ("name",), "file_recv": ("file", "recv", "name"), "dir_recv": ("dir", "recv", "name"), "recv": ("recv", "name"), "file": ("file",)}
+
 
-    def __init__(self, refs: DataFrame, symbols: DataFrame) -> None:
-        self.symbols = symbols.withColumn("dir", dirname(F.col("file"))).withColumn("recv", F.coalesce("recv", F.lit("")))
-        self.rows = refs
+def _key(scope: str, *parts: Column) -> Column:
+    """A scope and up to three values as one key."""
+    full = [*parts, *[F.lit("")] * (3 - len(parts))]
+    return F.struct(F.lit(scope).alias("scope"), *(p.alias(n) for p, n in zip(full, "abc", strict=True)))
 
-    def look(self, out: str, when: Column, **keys: Column) -> Tiers:
-        """out: the unique symbol whose columns equal keys, where the condition holds."""
-        known = unique_by(self.symbols, list(keys), out).select(*(F.col(k).alias(f"__{k}") for k in keys), out)
-        rows = self.rows
-        for k, column in keys.items():
-            rows = rows.withColumn(f"__want_{k}", F.when(when, column))
-        on = [rows[f"__want_{k}"] == known[f"__{k}"] for k in keys]
-        self.rows = rows.join(known, on, "left").drop(*(f"__{k}" for k in keys), *(f"__want_{k}" for k in keys))
-        return self
+
+def unique_keys(symbols: DataFrame) -> DataFrame:
+    """(key, qname) of every scope's keys that exactly one symbol has: one pass and one shuffle for all scopes."""
+    rows = symbols.select("qname", "name", "file", dirname(F.col("file")).alias("dir"), F.coalesce("recv", F.lit("")).alias("recv"))
+    keys = F.array(*(_key(scope, *map(F.col, columns)) for scope, columns in SCOPES.items()))
+    return rows.select("qname", F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.first("qname").alias("found")).where("n = 1").select("key", "found")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -40,43 +42,54 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     receiver's type in file, directory, anywhere, then with a capital, then without Rust's ' as Trait';
     and, unless bare names are not allowed, the name in file, directory, anywhere. A tier hits if
     exactly one symbol fits; none or several pass on to the next.
+
+    What resolves a reference is its file, name, receiver and bareness alone, so equal ones are looked up
+    once. Such a question becomes a row for each tier that applies; all meet the unique keys in one join,
+    and the first tier that hits is a minimum that sums up by task.
     """
-    target = imports.groupBy(F.col("file").alias("__file"), F.col("alias").alias("__alias")).agg(F.max_by(F.struct("target_file", "target_name"), F.struct("target_file", "target_name")).alias("__to"))
+    asked = ["caller_file", "callee_name", "callee_recv", "allow_bare"]
+    occurrences, refs = refs, refs.select(*asked).distinct()
+    target = imports.groupBy(F.col("file").alias("__file"), F.col("alias").alias("__alias")).agg(F.max(F.struct("target_file", "target_name")).alias("__to"))
     name, recv, file = F.col("callee_name"), F.coalesce("callee_recv", F.lit("")), F.col("caller_file")
-    rows = refs.withColumn("dir", dirname(file)).withColumn("callee_recv", recv)
     hcl = file.rlike(r"\.(?:hcl|tf|tofu|tfvars|tofuvars)$")
     prefixed = hcl & recv.rlike("^hcl-(?:import|module|tgsource)")
-    alias = F.when(prefixed, recv).otherwise(name)
-    rows = rows.join(target.select("__file", "__alias", F.col("__to").alias("by_name")), (file == F.col("__file")) & (alias == F.col("__alias")), "left").drop("__file", "__alias")
-    rows = rows.join(target.select("__file", "__alias", F.col("__to").alias("by_recv")), (file == F.col("__file")) & (F.when(recv != "", recv) == F.col("__alias")), "left").drop("__file", "__alias")
-    to_file, to_name = F.col("by_name.target_file"), F.col("by_name.target_name")
-    code = ~hcl
-    tiers = Tiers(rows, symbols)
-
-    tiers.look("h1", prefixed & to_file.isNotNull(), file=to_file, name=name).look("h2", prefixed & to_file.isNotNull(), dir=to_file, name=name)
-    tiers.look("h3", hcl & ~prefixed, file=file, name=name).look("h4", hcl & ~prefixed, dir=F.col("dir"), name=name)
-
-    tiers.look("t1", code & file.endswith(".html"), file=F.regexp_replace(file, r"\.html$", ".ts"), name=name)
-    named, default = code & (to_name != "*") & (to_name != "default"), code & (to_name == "default")
-    tiers.look("i1", named, file=to_file, name=to_name)
-    tiers.look("d1", default, file=to_file, name=F.lit("default")).look("d2", default, file=to_file, name=name).look("d3", default, file=to_file, name=stem(to_file)).look("d4", default, file=to_file)
-    tiers.look("r0", code & F.col("by_recv").isNotNull(), file=F.col("by_recv.target_file"), name=name)
-
-    capital = F.concat(F.upper(F.substring(recv, 1, 1)), F.expr("substring(callee_recv, 2)"))
-    rust = F.substring_index(recv, " as ", 1)
-    forms = [(recv, recv != ""), (capital, (recv != "") & recv.rlike(r"^\p{Ll}")), (rust, recv.contains(" as "))]
-    order = []
-    for k, (form, fits) in enumerate(forms):
-        tiers.look(f"m{k}f", code & fits, file=file, recv=form, name=name).look(f"m{k}d", code & fits, dir=F.col("dir"), recv=form, name=name).look(f"m{k}g", code & fits, recv=form, name=name)
-        order += [f"m{k}f", f"m{k}d", f"m{k}g"]
-    bare = code & F.col("allow_bare")
-    tiers.look("b1", bare, file=file, name=name).look("b2", bare, dir=F.col("dir"), name=name).look("b3", bare, name=name)
-
-    before = F.coalesce("t1")
-    after = F.coalesce("i1", "d1", "d2", "d3", "d4", "r0", *order, "b1", "b2", "b3")
-    stopped = F.coalesce(to_name == "*", F.lit(False))
-    found = F.when(hcl, F.when(prefixed, F.coalesce("h1", "h2")).otherwise(F.coalesce("h3", "h4"))).otherwise(F.coalesce(before, F.when(~stopped, after)))
-    return tiers.rows.withColumn("callee", found).select(*refs.columns, "callee")
+    rows = refs
+    for out, alias in (("__named", F.when(prefixed, recv).otherwise(name)), ("__of_recv", F.when(recv != "", recv))):
+        rows = rows.join(target.select("__file", "__alias", F.col("__to").alias(out)), (file == F.col("__file")) & (alias == F.col("__alias")), "left").drop("__file", "__alias")
+    folder, code = dirname(file), ~hcl
+    to_file, to_name = F.col("__named.target_file"), F.col("__named.target_name")
+    tiers: list[tuple[Column, Column]] = []
+
+    def tier(applies: Column, scope: str, *parts: Column) -> None:
+        tiers.append((applies, _key(scope, *parts)))
+
+    tier(prefixed & to_file.isNotNull(), "file_name", to_file, name)
+    tier(prefixed & to_file.isNotNull(), "dir_name", to_file, name)
+    tier(hcl & ~prefixed, "file_name", file, name)
+    tier(hcl & ~prefixed, "dir_name", folder, name)
+    tier(code & file.endswith(".html"), "file_name", F.regexp_replace(file, r"\.html$", ".ts"), name)
+    open_ = code & F.coalesce(to_name != "*", F.lit(True))
+    tier(open_ & (to_name != "default"), "file_name", to_file, to_name)
+    default = open_ & (to_name == "default")
+    for part in (F.lit("default"), name, stem(to_file)):
+        tier(default, "file_name", to_file, part)
+    tier(default, "file", to_file)
+    tier(open_ & F.col("__of_recv").isNotNull(), "file_name", F.col("__of_recv.target_file"), name)
+    capital = F.concat(F.upper(F.substring(recv, 1, 1)), F.expr("substring(coalesce(callee_recv, ''), 2)"))
+    for form, fits in ((recv, recv != ""), (capital, recv.rlike(r"^\p{Ll}")), (F.substring_index(recv, " as ", 1), recv.contains(" as "))):
+        tier(open_ & fits, "file_recv", file, form, name)
+        tier(open_ & fits, "dir_recv", folder, form, name)
+        tier(open_ & fits, "recv", form, name)
+    bare = open_ & F.col("allow_bare")
+    tier(bare, "file_name", file, name)
+    tier(bare, "dir_name", folder, name)
+    tier(bare, "name", name)
+
+    tries = F.array_compact(F.array(*(F.when(applies, F.struct(F.lit(k).alias("tier"), key.alias("key"))) for k, (applies, key) in enumerate(tiers))))
+    looked = rows.select(*asked, F.explode(tries).alias("t")).select(*asked, "t.tier", "t.key")
+    hits = looked.join(unique_keys(symbols), "key").groupBy(*(F.col(c).alias(f"__{c}") for c in asked)).agg(F.min_by("found", "tier").alias("callee"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in asked))
+    return occurrences.join(hits, same, "left").select(*occurrences.columns, "callee")
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:
