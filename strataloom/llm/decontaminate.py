@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import sliced, table
 
 #: Tokens that a tile has at least, and the share of a benchmark text's tokens that tiles must cover to call a document contaminated.
 MIN_MATCH, COVERAGE = 5, 0.6
@@ -216,7 +216,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: int = MIN_M
         index = spark.sparkContext.broadcast(Index(block, least, coverage))
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [index.value.best(t) for t in batch.column(at).to_pylist()]
                 n = len(names)
                 old = list(zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True))

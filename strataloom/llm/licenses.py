@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import sliced, table
 from .shingles import WIDTH, shingled
 
 #: Share of a template's shingles that a window must contain, and chance that retrieval may miss such a window.
@@ -127,7 +127,7 @@ def licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     names = ["doc_id", "n_licenses", "licenses", "n_places", "containment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for part in shingled(batch.column(1), alnum=True):
                 near = _rows_near(known, part)

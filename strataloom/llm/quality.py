@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import sliced, table, written
 
 #: Random features, width of the Gaussian kernel in standard deviations a statistic, and ridge weight a row.
 FEATURES, WIDTH, RIDGE = 256, 4.0, 1e-4
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"), part.alias("part")).where("y IS NOT NULL AND part <> 2")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             stats = _statistics_of(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * STATS), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "stats"])
@@ -208,7 +208,7 @@ def scores(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, repeated ones too; null text is empty, null doc_id is not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_statistics_of(batch.column(1))))], ["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -220,7 +220,7 @@ def accepted(documents: DataFrame, model: Model, least: float = GOOD) -> DataFra
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(model.score(_statistics_of(batch.column(at))) >= least))
 
     return documents.mapInArrow(run, documents.schema)

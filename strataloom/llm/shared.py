@@ -56,3 +56,10 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def sliced(batches, rows: int = 1_000):
+    """Arrow batches in slices of few rows, so that Python objects are made of a small part of a batch at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import sliced, table
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Pre-tokens other than whole tokens whose counts a Python worker remembers.
@@ -100,7 +100,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).fill_null("")
             n_tokens = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), n_tokens], ["doc_id", "n_bytes", "n_tokens"])
