@@ -157,6 +157,12 @@ _DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, lo
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
     out = []
     for conv, rows in _runs(batches, 5):
         turns, loss = hashlib.sha256(), hashlib.sha256()
@@ -171,9 +177,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chars += len(said)
             n, total, count = n + len(found), total + len(text), count + 1
         out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, count))
+        if len(out) >= 5_000:
+            yield batch_of(out)
+            out = []
     if out:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"])
+        yield batch_of(out)
 
 
 def read_back_digests(windowed: DataFrame) -> DataFrame:
