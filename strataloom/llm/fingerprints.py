@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 #: Bins of the one permutation, and low-order bits kept of each bin's minimum (one hexadecimal digit).
 BINS, BITS = 128, 4
@@ -13,6 +13,8 @@ BINS, BITS = 128, 4
 WIDTH = 5
 #: Documents that a range of ids holds, about; neighbours are found within ranges.
 RANGE_ROWS = 1_000
+#: Ranges that one task puts in order, and ranges up to which their first ids are broadcast (16 bytes each).
+GROUP_RANGES, BROADCAST_RANGES = 1_000, 1_000_000
 _VALUE_BITS = 56
 _EMPTY = (1 << _VALUE_BITS) - 1
 
@@ -106,22 +108,35 @@ class Ranges:
         return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(out).cast("long")
 
 
+def following_heads(heads: DataFrame) -> DataFrame:
+    """(head, k): for each range k of heads(k, head) the head of the range before it in k, for the least that of the greatest.
+
+    Ranges follow each other within groups of GROUP_RANGES, and the groups' ends by one row a group.
+    """
+    group = F.floor(F.col("k") / F.lit(GROUP_RANGES)).alias("group")
+    heads = heads.select("k", group, F.struct("head").alias("own"))
+    tops = heads.groupBy(F.col("group").alias("of")).agg(F.max_by("own", "k").alias("top"))
+    tops = tops.select("of", F.lead("top").over(Window.orderBy(F.desc("of"))).alias("beyond"), F.first("top").over(Window.orderBy(F.desc("of"))).alias("greatest"))
+    inner = F.lead("own").over(Window.partitionBy("group").orderBy(F.desc("k")))
+    found = heads.withColumn("inner", inner).join(tops, F.col("group") == F.col("of"))
+    return found.select(F.coalesce("inner", "beyond", "greatest")["head"].alias("head"), "k")
+
+
 def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, WindowSpec]:
     """(rows, window): doc_id, text, k, ghost, and a window in which lead() is the next document in descending doc_id.
 
     Rows meet by ranges of ids (k). The first document of the range after it is added to each range as
-    a ghost, after the last the first of all; so no task sees more than a range. Ties of doc_id go by
-    hash of the text, then the text; null ids come last.
+    a ghost, after the last the first of all; so no task sees more than a range. The ranges' first ids
+    stay distributed; up to BROADCAST_RANGES of them are broadcast to find their rows, more are joined
+    by id. Ties of doc_id go by hash of the text, then the text; null ids come last.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spark = documents.sparkSession
     ids = rows.select("doc_id")
     k = Ranges(ids, range_rows).column()
-    heads = {r["k"]: r["head"] for r in ids.groupBy(k.alias("k")).agg(F.max("doc_id").alias("head")).collect()}  # a row a range
-    order = sorted(heads, reverse=True)
-    ghosts = [(heads[order[(i + 1) % len(order)]], x) for i, x in enumerate(order)]
-    wanted = spark.createDataFrame(ghosts, "head long, k long")
-    ghost = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "k", F.lit(True).alias("ghost"))
+    wanted = written(following_heads(written(ids.groupBy(k.alias("k")).agg(F.max("doc_id").alias("head")), "heads")), "ghosts")
+    few = wanted.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
+    wanted = F.broadcast(wanted) if few else wanted.hint("merge")
+    ghost = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "k", F.lit(True).alias("ghost"))
     real = rows.select("doc_id", "text", k.alias("k"), F.lit(False).alias("ghost"))
     return real.unionByName(ghost), Window.partitionBy("k").orderBy("ghost", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
 

@@ -119,6 +119,13 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in held]) >= 0.97 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
 
 
+def test_statistics_take_every_word():
+    words = ["ab"] * 5_000
+    words[4_321] = "x" * 700
+    stats = quality.statistics(" ".join(words))
+    assert np.isclose(stats[2], np.mean([len(w) for w in words]) / 4) and np.isclose(stats[3], np.std([len(w) for w in words]) / 4)
+
+
 def test_quality_edges(spark):
     docs = docs_of(spark, [*ODD, (4, "one")])
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)] + [(None, 1, 0), (3, None, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
@@ -490,6 +497,22 @@ def test_fingerprints(spark, range_rows):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_heads_follow_across_groups(spark, monkeypatch):
+    heads = [(k, None if k == 0 else 10 * k) for k in (0, 1, 2, 3, 7, 8, 40)]
+    for group in (1, 3, 1_000):
+        monkeypatch.setattr(fingerprints, "GROUP_RANGES", group)
+        found = {r.k: r.head for r in fingerprints.following_heads(spark.createDataFrame(heads, "k long, head long")).collect()}
+        assert found == {k: heads[n - 1][1] for n, (k, _) in enumerate(heads)}
+
+
+def test_fingerprints_joined_by_id(spark, monkeypatch):
+    docs = docs_of(spark, [(k, f"a{k} b{k} c{k % 5} d e f g{k % 3}") for k in range(60)] + [(None, "x y")])
+    few = sorted(map(tuple, fingerprints.compared(docs, 7).collect()), key=repr)
+    monkeypatch.setattr(fingerprints, "GROUP_RANGES", 2)
+    monkeypatch.setattr(fingerprints, "BROADCAST_RANGES", 0)
+    assert sorted(map(tuple, fingerprints.compared(docs, 7).collect()), key=repr) == few and len(few) == 61
+
+
 def test_fingerprints_of_few(spark):
     one = fingerprints.compared(docs_of(spark, [(1, "a b c d e f g h i")])).first()
     assert one.near_next == 1.0 and one.near_edited < 1
