@@ -29,7 +29,7 @@ def test_stages_take_effect(spark):
     good = {r.doc_id for r in quality.scores(table(spark, DIR, "documents"), quality.fit(table(spark, DIR, "documents"), labels)).where("predicted = 1").collect()}
     assert set(ids(first)) == good and len(good) < 200
     assert ids(lines) == ids(first) and sorted(map(tuple, lines.collect())) == sorted(map(tuple, line_dedup.without_boilerplate(first).select(*columns).collect()))
-    assert ids(near) == sorted(r.doc_id for r in near_dedup.near_duplicates(lines).where("kept").collect())
+    assert ids(near) == sorted(r.doc_id for r in near_dedup.near_duplicates(lines, 80).where("kept").collect())
     assert ids(clean) == sorted(r.doc_id for r in decontaminate.contamination(near, table(spark, DIR, "benchmark")).where("NOT contaminated").collect()) and len(ids(clean)) < len(ids(near))
     taken = {r.doc_id: r.taken for r in mixing.mixture(clean).where("copies > 0").collect()}
     assert {r.doc_id: r.taken for r in mix.collect()} == taken
