@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from strataloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 from strataloom.llm.shared import table, written
 
+#: Percent of common 5-word shingles from which documents are near copies.
+SIMILARITY = 80
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is fitted on the labelled ones among docs."""
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -19,7 +23,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least doc_id."""
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, SIMILARITY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
