@@ -115,10 +115,27 @@ def _slots(word: str, offset: int) -> tuple[int, ...]:
     return tuple(_slot(f"{offset}:{f}") for f in _own(word) if f)
 
 
+@lru_cache(100_000)
+def _bare(word: str) -> str:
+    return word.strip(_EDGES).lower()
+
+
+def _spelt_out(words: list[str]) -> dict[int, int]:
+    """Slots of the words that stand as "name at host dot word" (dot word ...), by place: of the name, of the others."""
+    out, n = {}, len(words)
+    for k in range(1, n - 3):
+        if _bare(words[k]) == "at" and _bare(words[k + 2]) == "dot":
+            end = k + 3
+            while end + 2 < n and _bare(words[end + 1]) == "dot":
+                end += 2
+            out |= {k - 1: _slot("form=first"), **dict.fromkeys(range(k, end + 1), _slot("form=next"))}
+    return out
+
+
 def features(words: list[str]) -> list[list[int]]:
-    out = []
+    out, form = [], _spelt_out(words)
     for k in range(len(words)):
-        own = [_slot("bias")]
+        own = [_slot("bias"), form[k]] if k in form else [_slot("bias")]
         for offset in (-2, -1, 0, 1, 2):
             own += _slots(words[k + offset], offset) if 0 <= k + offset < len(words) else (_slot(f"{offset}:none"),)
         out.append(own)
@@ -218,8 +235,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def labelled_table(rows: int = 600, seed: int = 11) -> list[list[tuple[str, int]]]:
     """The small labelled table: sentences of (word, label) made from a rule with a fixed seed.
 
-    Half hold an address spelt out (name at host dot com) or a national phone number (with area code);
-    the others look like them but are not: prices, dates, versions, sizes, plain "at", references, keys.
+    Half begin with an address spelt out (name at host dot com) or a national phone number (with area code);
+    the others with what looks like them but is not: prices, dates, versions, sizes, plain "at", references,
+    keys. Two in three rows hold one or two more of either sort, as runs of near triggers do.
     """
     rng = random.Random(seed)
     syllables = "an be con dar el fi gor hu il ka lo mer ni os pra qui ro sta ter und ve wi".split()
@@ -250,8 +268,10 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[list[tuple[str, int]
 
     out = []
     for k in range(rows):
-        middle = email() if k % 4 == 0 else phone() if k % 4 == 1 else other()
-        out.append(filler() + middle + filler())
+        middles = [email() if k % 4 == 0 else phone() if k % 4 == 1 else other()]
+        for _ in range(k // 4 % 3):
+            middles.append(rng.choice((email, phone, other, other))())
+        out.append(filler() + [x for middle in middles for x in middle + filler()])
     return out
 
 
@@ -265,25 +285,23 @@ def model() -> Crf:
 def windows_of(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
     """(words, their spans) of runs of words within REACH of a trigger; the CRF leaves the rest of the text unlabelled.
 
+    Triggers at most 2 * REACH words apart are in one run, so each has its REACH words on either side there.
     A window has at most 64 words: longer runs of triggers are cut, as no entity is that long.
     """
-    last, limit = 0, len(text)
+    last = least = 0
     while m := _TRIGGER.search(text, last):
-        start = _back(text, m.start(), last)
-        words, spans, until = [], [], m.end()
-        left = REACH
-        for w in _WORD.finditer(text, start):
+        words, spans, keep, left = [], [], 0, 2 * REACH
+        for w in _WORD.finditer(text, _back(text, m.start(), least)):
             words.append(w[0] if len(w[0]) <= 80 else w[0][:80])
             spans.append(w.span())
-            if w.end() > until:
-                left -= 1
             if _TRIGGER.search(w[0]):
-                left = REACH
+                keep, left = len(words) + REACH, 2 * REACH
+            elif keep:
+                left -= 1
             if not left or len(words) == 64:
                 break
-        last = max(spans[-1][1] if spans else limit, m.end())
-        if words:
-            yield words, spans
+        last, least = spans[-1][1], spans[:keep][-1][1]
+        yield words[:keep], spans[:keep]
 
 
 def _back(text: str, at: int, least: int) -> int:

@@ -429,6 +429,30 @@ def test_crf_on_sentences_not_trained_on():
     assert np.mean([g == [y for _, y in r] for g, r in zip(got, rows, strict=True)]) >= 0.95
 
 
+def added(text):
+    return [text[a:b] for a, b, _ in pii.added_spans([(text, pii.base_spans(text))], pii.model())[0]]
+
+
+def test_entities_after_an_earlier_trigger_are_found():
+    for gap in range(1, 14):
+        words = " ".join("on the office of Monday we had met for some more of these days".split()[:gap])
+        assert added(f"We met at {words} john at example dot com for lunch") == ["john at example dot com"], gap
+        assert added(f"In 2024 {words} call 555-123-4567 about lunch") == ["555-123-4567"], gap
+
+
+def test_windows_hold_each_word_near_a_trigger_once():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "  ".join(rng.choice(["x", "y,", "z\n", *["at"] * rng.randrange(2), "7"][: rng.randrange(3, 6)]) for _ in range(rng.randrange(60)))
+        words = list(re.finditer(r"\S+", text))
+        triggers = [k for k, w in enumerate(words) if w[0] in ("at", "7")]
+        windows = [spans for _, spans in pii.windows_of(text)]
+        assert [s for spans in windows for s in spans] == [w.span() for k, w in enumerate(words) if any(abs(k - t) <= pii.REACH for t in triggers)]
+        for t in triggers:
+            around = {w.span() for w in words[max(t - pii.REACH, 0) : t + pii.REACH + 1]}
+            assert any(around <= set(spans) for spans in windows)
+
+
 def test_viterbi_is_the_best_path():
     rng, crf = np.random.default_rng(1), pii.Crf()
     crf.emit[:] = rng.normal(size=crf.emit.shape)
