@@ -77,6 +77,10 @@ LABELS = ("O", "B-email", "I-email", "B-phone", "I-phone")
 #: Words on either side that a window holds around a word that may start or end an entity.
 REACH = 5
 _SLOTS = 1 << 12
+#: Slots of their own: the first word of "name at host dot word", the others, and words outside.
+_FIRST, _NEXT, _NONE = range(_SLOTS, _SLOTS + 3)
+#: Words, padding included, that a batch of windows holds; a longer run is decoded alone, its features made so many words at a time.
+PIECE = 32_000
 _WORD = re.compile(r"[^\s]+")
 #: Every entity holds a word of digits or one of these; elsewhere nothing is labelled.
 _TRIGGER = re.compile(r"[0-9]|\b(?:at|dot|AT|DOT)\b|\((?:at|dot)\)|\[(?:at|dot)\]")
@@ -121,21 +125,22 @@ def _bare(word: str) -> str:
 
 
 def _spelt_out(words: list[str]) -> dict[int, int]:
-    """Slots of the words that stand as "name at host dot word" (dot word ...), by place: of the name, of the others."""
+    """_FIRST and _NEXT by the places of words that stand as "name at host dot word" (dot word ...)."""
     out, n = {}, len(words)
     for k in range(1, n - 3):
         if _bare(words[k]) == "at" and _bare(words[k + 2]) == "dot":
             end = k + 3
             while end + 2 < n and _bare(words[end + 1]) == "dot":
                 end += 2
-            out |= {k - 1: _slot("form=first"), **dict.fromkeys(range(k, end + 1), _slot("form=next"))}
+            out |= {k - 1: _FIRST, **dict.fromkeys(range(k, end + 1), _NEXT)}
     return out
 
 
-def features(words: list[str]) -> list[list[int]]:
-    out, form = [], _spelt_out(words)
-    for k in range(len(words)):
-        own = [_slot("bias"), form[k]] if k in form else [_slot("bias")]
+def features(words: list[str], places: range | None = None, form: dict[int, int] | None = None) -> list[list[int]]:
+    """Slots of the words at these places, else of all; form: _spelt_out(words), where it is known."""
+    out, form = [], _spelt_out(words) if form is None else form
+    for k in range(len(words)) if places is None else places:
+        own = [_slot("bias"), form.get(k, _NONE)]
         for offset in (-2, -1, 0, 1, 2):
             own += _slots(words[k + offset], offset) if 0 <= k + offset < len(words) else (_slot(f"{offset}:none"),)
         out.append(own)
@@ -147,7 +152,8 @@ class Crf:
 
     def __init__(self) -> None:
         n = len(LABELS)
-        self.emit, self.move = np.zeros((_SLOTS, n)), np.zeros((n, n))
+        self.emit, self.move = np.zeros((_SLOTS + 3, n)), np.zeros((n, n))
+        self.emit[_NONE, 1:3] = self.emit[_FIRST, 2] = -1e3  # an address has that form, and its name is not inside another
         self.allowed = np.array([[b[0] != "I" or a[1:] == b[1:] for b in LABELS] for a in LABELS])
         self.start = np.array([label[0] != "I" for label in LABELS])
 
@@ -163,9 +169,16 @@ class Crf:
 
     def decode(self, windows: list[list[list[int]]]) -> list[list[int]]:
         """Viterbi for a batch of windows at once."""
-        if not windows:
-            return []
-        score, lengths = self.scores(windows)
+        return self.paths(*self.scores(windows)) if windows else []
+
+    def decode_long(self, words: list[str]) -> list[int]:
+        """Viterbi for one run of any length, whose features are made a piece at a time."""
+        form = _spelt_out(words)
+        pieces = [self.scores([features(words, range(lo, min(lo + PIECE, len(words))), form)])[0][0] for lo in range(0, len(words), PIECE)]
+        return self.paths(np.concatenate(pieces)[None], np.array([len(words)]))[0]
+
+    def paths(self, score: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+        """The best labels of each window from its emission scores."""
         move = np.where(self.allowed, self.move, -1e9)
         best = score[:, 0] + np.where(self.start, 0, -1e9)
         back = np.zeros(score.shape, np.int64)
@@ -175,12 +188,12 @@ class Crf:
             new = all_.max(1) + score[:, t]
             best = np.where((t < lengths)[:, None], new, best)
         label = best.argmax(1)
-        out = [[] for _ in windows]
+        out = [[] for _ in lengths]
         for t in range(score.shape[1] - 1, -1, -1):
             live = t < lengths
             for k in np.flatnonzero(live):
                 out[k].append(int(label[k]))
-            label = np.where(live, back[np.arange(len(windows)), t, label], label)
+            label = np.where(live, back[np.arange(len(lengths)), t, label], label)
         return [x[::-1] for x in out]
 
     def train(self, windows: list[list[list[int]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Crf:
@@ -286,7 +299,7 @@ def windows_of(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
     """(words, their spans) of runs of words within REACH of a trigger; the CRF leaves the rest of the text unlabelled.
 
     Triggers at most 2 * REACH words apart are in one run, so each has its REACH words on either side there.
-    A window has at most 64 words: longer runs of triggers are cut, as no entity is that long.
+    A run has any number of words: it is never cut.
     """
     last = least = 0
     while m := _TRIGGER.search(text, last):
@@ -298,7 +311,7 @@ def windows_of(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
                 keep, left = len(words) + REACH, 2 * REACH
             elif keep:
                 left -= 1
-            if not left or len(words) == 64:
+            if not left:
                 break
         last, least = spans[-1][1], spans[:keep][-1][1]
         yield words[:keep], spans[:keep]
@@ -324,6 +337,18 @@ def _plausible(kind: int, found: str) -> bool:
     return len(low) >= 5 and low[1] == "at" and low[-2] == "dot" and low[-1] in _SUFFIXES
 
 
+def _batches(lengths: list[int]) -> Iterator[list[int]]:
+    """Places of windows of like length, PIECE words a batch when padded; a longer window is a batch of its own."""
+    batch: list[int] = []
+    for k in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if batch and (len(batch) + 1) * lengths[k] > PIECE:
+            yield batch
+            batch = []
+        batch.append(k)
+    if batch:
+        yield batch
+
+
 def added_spans(texts: list[tuple[str, list[tuple[int, int, int]]]], crf: Crf) -> list[list[tuple[int, int, int]]]:
     """What the CRF adds to each text's base spans: no overlap with them, and of an entity's form."""
     owners, all_words, all_spans = [], [], []
@@ -333,9 +358,12 @@ def added_spans(texts: list[tuple[str, list[tuple[int, int, int]]]], crf: Crf) -
             all_words.append(words)
             all_spans.append(spans)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for lo in range(0, len(owners), 2_000):
-        labels = crf.decode([features(w) for w in all_words[lo : lo + 2_000]])
-        for k, row in enumerate(labels, lo):
+    for batch in _batches([len(w) for w in all_words]):
+        if len(all_words[batch[0]]) > PIECE:
+            labels = [crf.decode_long(all_words[batch[0]])]
+        else:
+            labels = crf.decode([features(all_words[k]) for k in batch])
+        for k, row in zip(batch, labels, strict=True):
             t = 0
             while t < len(row):
                 if row[t] in (1, 3):

@@ -453,6 +453,22 @@ def test_windows_hold_each_word_near_a_trigger_once():
             assert any(around <= set(spans) for spans in windows)
 
 
+@pytest.mark.parametrize("piece", [pii.PIECE, 50])
+def test_long_runs_are_not_cut(monkeypatch, piece):
+    monkeypatch.setattr(pii, "PIECE", piece)
+    phones = [f"({k:03}) 555-1{k:03}" for k in range(200)]
+    assert added(" ".join(f"Tel: {p}" for p in phones)) == phones
+    names = [f"na{chr(97 + k % 26)} at ho{chr(97 + k // 26)} dot com" for k in range(150)]
+    assert added(" or ".join(names)) == names
+    rng = random.Random(7)
+    text = " ".join(rng.choice([*phones[:5], *names[:5], "at nine", "2024", "version 1.2", "of the"]) for _ in range(400))
+    words = list(re.finditer(r"\S+", text))
+    whole = pii.model().decode([pii.features([w[0] for w in words])])[0]
+    begins = [w.start() for w, y in zip(words, whole, strict=True) if y in (1, 3)]
+    found = pii.added_spans([(text, [])], pii.model())[0]
+    assert len(found) > 100 and [a for a, *_ in found] == begins
+
+
 def test_viterbi_is_the_best_path():
     rng, crf = np.random.default_rng(1), pii.Crf()
     crf.emit[:] = rng.normal(size=crf.emit.shape)
