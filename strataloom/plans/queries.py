@@ -116,6 +116,11 @@ def pagerank_dangling(spark, d):
     return graph.pagerank(edges).select("qname", F.round("rank", 8).alias("rank"))
 
 
+@query("g1_pagerank_dangling_whole", _pagerank_sql("supply_edges", "1.0 / (SELECT n FROM total)").replace("round(r, 6)", "round(r, 8)"), True, R.SUPPLY_EDGES)
+def pagerank_dangling_whole(spark, d):
+    return graph.pagerank(R.supply_edges(spark, d)).select("qname", F.round("rank", 8).alias("rank"))
+
+
 @query(
     "g5_neighborhood",
     """both_ways AS (SELECT src, dst FROM supply_edges UNION SELECT dst, src FROM supply_edges),
@@ -425,37 +430,59 @@ layer_symbols AS (SELECT q AS qname, CASE WHEN q[1] = 'p' THEN 'parts/f' || (sub
   substr(q, 2)::INTEGER AS line FROM (SELECT src AS q FROM layers UNION SELECT dst FROM layers))"""
 
 
-def _layers(spark, d):
-    edges = materialised(R.supply_edges(spark, d, "psn"))
+#: The same over all of supply_edges.
+_ALL_LAYERS = """layers AS (SELECT DISTINCT src, dst FROM supply_edges),
+layer_symbols AS (SELECT q AS qname, CASE q[1] WHEN 'c' THEN 'customers/f' || (substr(q, 2)::BIGINT % 3) WHEN 'o' THEN 'orders/f' || (substr(q, 2)::BIGINT % 11)
+    WHEN 'p' THEN 'parts/f' || (substr(q, 2)::BIGINT % 7) WHEN 's' THEN 'suppliers/f' || (substr(q, 2)::BIGINT % 5) ELSE 'places/f' || q[1] END || '.go' AS file,
+  substr(q, 2)::INTEGER AS line FROM (SELECT src AS q FROM layers UNION SELECT dst FROM layers))"""
+
+
+def _layers(spark, d, layers="psn"):
+    edges = materialised(R.supply_edges(spark, d, layers))
     q = graph.node_set(edges)
     first, number = F.substring("qname", 1, 1), F.expr("cast(substring(qname, 2) as bigint)")
-    folder = F.when(first == "p", F.concat(F.lit("parts/f"), (number % 7).cast("string"))).when(first == "s", F.concat(F.lit("suppliers/f"), (number % 5).cast("string"))).otherwise(F.concat(F.lit("places/f"), first))
+    folder = F.when(first == "c", F.concat(F.lit("customers/f"), (number % 3).cast("string"))).when(first == "o", F.concat(F.lit("orders/f"), (number % 11).cast("string")))
+    folder = folder.when(first == "p", F.concat(F.lit("parts/f"), (number % 7).cast("string"))).when(first == "s", F.concat(F.lit("suppliers/f"), (number % 5).cast("string"))).otherwise(F.concat(F.lit("places/f"), first))
     symbols = q.select("qname", F.concat(folder, F.lit(".go")).alias("file"), number.cast("int").alias("line"), F.col("qname").alias("name"), F.lit("function").alias("kind"), F.lit("go").alias("lang"), F.lit("").alias("recv"), F.lit(False).alias("test"), F.lit(False).alias("public"))
     return edges, symbols
 
 
-@query(
-    "g9_changed_symbols",
-    """hunk(path, s, e) AS (SELECT 'suppliers/f2.go', 1, 40 UNION ALL SELECT 'places/fn.go', 3, 8),
+_CHANGED = """hunk(path, s, e) AS (SELECT 'suppliers/f2.go', 1, 40 UNION ALL SELECT 'places/fn.go', 3, 8),
 ext AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN greatest(nxt - 1, line) END AS last_line FROM (SELECT *, lead(line) OVER (PARTITION BY file ORDER BY line, qname) AS nxt FROM layer_symbols)),
 hit AS (SELECT qname, file, line FROM ext d WHERE EXISTS (SELECT 1 FROM hunk h WHERE h.path = d.file AND h.e >= d.line AND (d.last_line IS NULL OR h.s <= d.last_line))),
 behind(seed, node, depth) AS (SELECT h.qname, l.src, 1 FROM hit h JOIN layers l ON l.dst = h.qname UNION SELECT b.seed, l.src, b.depth + 1 FROM behind b JOIN layers l ON l.dst = b.node WHERE b.depth < 6)
 SELECT h.qname, h.file, h.line, count(DISTINCT b.node)::BIGINT AS impacted_count, count(DISTINCT CASE WHEN b.depth = 1 THEN b.node END)::BIGINT AS direct_callers
-FROM hit h LEFT JOIN behind b ON b.seed = h.qname GROUP BY h.qname, h.file, h.line ORDER BY impacted_count DESC, h.file, h.line, h.qname LIMIT 50""",
+FROM hit h LEFT JOIN behind b ON b.seed = h.qname GROUP BY h.qname, h.file, h.line ORDER BY impacted_count DESC, h.file, h.line, h.qname LIMIT 50"""
+
+
+def _changed(spark, edges, symbols):
+    hunks = spark.createDataFrame([("suppliers/f2.go", 1, 40), ("places/fn.go", 3, 8)], "path string, start int, end int")
+    rows, _ = changes.changed_symbols(symbols, edges, hunks)
+    return rows.select("qname", "file", "line", "impacted_count", "direct_callers").orderBy(F.desc("impacted_count"), "file", "line", "qname").limit(50)
+
+
+@query(
+    "g9_changed_symbols",
+    _CHANGED,
     True,
     R.SUPPLY_EDGES,
     _LAYERS,
 )
 def changed_symbols(spark, d):
-    edges, symbols = _layers(spark, d)
-    hunks = spark.createDataFrame([("suppliers/f2.go", 1, 40), ("places/fn.go", 3, 8)], "path string, start int, end int")
-    rows, _ = changes.changed_symbols(symbols, edges, hunks)
-    return rows.select("qname", "file", "line", "impacted_count", "direct_callers").orderBy(F.desc("impacted_count"), "file", "line", "qname").limit(50)
+    return _changed(spark, *_layers(spark, d))
+
+
+@query("g9_changed_symbols_whole", _CHANGED, True, R.SUPPLY_EDGES, _ALL_LAYERS)
+def changed_symbols_whole(spark, d):
+    return _changed(spark, *_layers(spark, d, "copsn"))
+
+
+_ORPHANS = """SELECT qname, file, line, 'high' AS confidence FROM layer_symbols s WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.dst = s.qname) ORDER BY file, line, qname LIMIT 50"""
 
 
 @query(
     "g8_dead_code",
-    """SELECT qname, file, line, 'high' AS confidence FROM layer_symbols s WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.dst = s.qname) ORDER BY file, line, qname LIMIT 50""",
+    _ORPHANS,
     False,
     R.SUPPLY_EDGES,
     _LAYERS,
@@ -465,6 +492,12 @@ def dead_code(spark, d):
     return changes.ordered_orphans(changes.dead_code(symbols, edges)).select("qname", "file", "line", "confidence")
 
 
+@query("g8_dead_code_whole", _ORPHANS, False, R.SUPPLY_EDGES, _ALL_LAYERS)
+def dead_code_whole(spark, d):
+    edges, symbols = _layers(spark, d, "copsn")
+    return changes.ordered_orphans(changes.dead_code(symbols, edges)).select("qname", "file", "line", "confidence")
+
+
 _DIRS = """dir_edges AS (
   SELECT regexp_extract(a.file, '^(.*)/', 1) AS from_dir, regexp_extract(b.file, '^(.*)/', 1) AS to_dir, count(*)::BIGINT AS calls
   FROM event_edges e JOIN event_symbols a ON a.qname = e.src JOIN event_symbols b ON b.qname = e.dst WHERE from_dir <> to_dir GROUP BY ALL)"""
