@@ -274,6 +274,16 @@ def history_top(spark, d):
     return history.top_history(history.file_history(*R.commit_tables(spark, d)))
 
 
+@query("a1_history_all", "SELECT * FROM history", False, R.COMMITS, R.HISTORY_ALL)
+def file_history_all(spark, d):
+    return history.file_history(*R.commit_tables(spark, d), max_commits=-1)
+
+
+@query("t5_history_top_all", "SELECT * FROM history ORDER BY commits DESC, path LIMIT 20", False, R.COMMITS, R.HISTORY_ALL)
+def history_top_all(spark, d):
+    return history.top_history(history.file_history(*R.commit_tables(spark, d), max_commits=-1))
+
+
 def _scored(spark, d):
     """Part symbols by caller count (a stand-in for rank that SQL has too) and the churn of their file."""
     symbols = R.part_symbols(spark, d).withColumn("kind", F.lit("function")).withColumn("line", F.regexp_extract("qname", r"#(\d+)$", 1).try_cast("int")).withColumn("line", F.coalesce("line", F.lit(1)))

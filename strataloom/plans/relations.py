@@ -83,6 +83,8 @@ numstat AS (
 HISTORY = """history AS (
   SELECT n.path, count(DISTINCT n.commit_seq)::BIGINT AS commits, sum(adds)::BIGINT AS additions, sum(dels)::BIGINT AS deletions, arg_min(c.day, n.commit_seq) AS last_date, count(DISTINCT author)::BIGINT AS authors
   FROM numstat n JOIN commits c USING (commit_seq) WHERE c.commit_seq < 1000 GROUP BY n.path)"""
+#: The same over all commits.
+HISTORY_ALL = HISTORY.replace(" WHERE c.commit_seq < 1000", "")
 
 
 def definitions(spark: SparkSession, d: str) -> DataFrame:

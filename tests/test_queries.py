@@ -46,3 +46,13 @@ def test_whole_supply_graph(spark, sql):
     reach = "l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"
     ((want,),) = sql.sql(f"SELECT (SELECT count(*) FROM supplier WHERE s_nationkey = 3) + count(DISTINCT l_partkey) + (SELECT count(DISTINCT l_orderkey) + count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE {reach})) FROM lineitem WHERE {reach}").fetchall()
     assert {r.qname: r.impacted_count for r in QUERIES["g9_changed_symbols_whole"](spark, DIR).collect()}["n3"] == want
+
+
+def test_history_cap(spark, sql):
+    from strataloom.operators.history import file_history
+
+    commits = spark.createDataFrame([(k, "a", f"2024-01-{9 - k:02}T00:00:00") for k in range(4)], "commit_seq long, author string, date string")
+    lines = spark.createDataFrame([(k, "f", 1, 0) for k in range(4)], "commit_seq long, path string, adds int, dels int")
+    assert [file_history(commits, lines, n).first().commits for n in (3, -1)] == [3, 4]
+    ((orders, additions),) = sql.sql("SELECT count(DISTINCT l_orderkey), sum(l_quantity::INTEGER) FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey").fetchall()
+    assert orders > 1000 and sum(r.additions for r in QUERIES["a1_history_all"](spark, DIR).collect()) == additions
