@@ -102,6 +102,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, _, n in blocks]) if blocks else y
 
 
+def levels(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Isotonic levels of bins of n rows, with one row more of half either class, spread over all bins: it keeps sparse ends from extremes."""
+    part = 1 / len(x)
+    return isotonic(x, (y * n + 0.5 * part) / (n + part), n + part)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -196,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
         x, y, w = (np.array([float(r[k]) for r in pooled]) for k in ("x", "y", "n"))
         order = np.argsort(x, kind="stable")
         x, y, w = x[order], y[order], w[order]
-        level = isotonic(x, (y * w + 0.5) / (w + 1), w)  # half a row of either class in each bin keeps sparse bins from extremes
+        level = levels(x, y, w)
         slope = (x - x[0]) / max(x[-1] - x[0], 1e-9)  # a thousandth keeps the raw order within a level
         model.knots_x, model.knots_y = x, np.clip(0.999 * level + 0.001 * slope, 0, 1)
     else:

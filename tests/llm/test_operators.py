@@ -111,6 +111,19 @@ def test_isotonic_is_the_least_squares_fit():
         assert np.allclose(got, want)
 
 
+def test_levels_do_not_hang_on_the_number_of_labels():
+    def good_at_the_cut(n, rng):
+        good = rng.random(n) < 0.8
+        raw = np.sort(np.where(good, 1, 0) + rng.normal(0, 0.1, n))
+        y = ((raw > 0.5) ^ (rng.random(n) < 0.1)).astype(float)
+        return np.mean(quality.levels(raw, y, np.ones(n))[raw > 0.5] >= quality.GOOD)
+
+    shares = {n: np.mean([good_at_the_cut(n, np.random.default_rng(k)) for k in range(60)]) for n in (22, 100, 1000)}
+    assert min(shares.values()) > 0.93, shares
+    ends = quality.levels(np.arange(22.0), np.repeat([0.0, 1.0], 11), np.ones(22))
+    assert 0 < ends[0] < 0.05 and 0.95 < ends[-1] < 1
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     found = quality.op2_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
