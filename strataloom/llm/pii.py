@@ -86,7 +86,7 @@ _WORD = re.compile(r"[^\s]+")
 _TRIGGER = re.compile(r"[0-9]|\b(?:at|dot|AT|DOT)\b|\((?:at|dot)\)|\[(?:at|dot)\]")
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*|"
 _CUES = frozenset("call phone tel telephone mobile cell fax dial text ring reach contact hotline mail email e-mail write address send inbox".split())
-_SUFFIXES = frozenset("com org net edu io de fr es".split())
+_SUFFIXES = frozenset("com org net edu gov mil int io info biz dev app ai co me tv de fr es it nl be ch at pl pt se no dk fi ie uk us ca au nz in jp cn br ru za eu".split())
 
 
 def shape(word: str) -> str:
@@ -265,10 +265,11 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[list[tuple[str, int]
     def email() -> list[tuple[str, int]]:
         at, dot = rng.choice([("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]"), ("AT", "DOT")])
         lead = rng.choice(["", "", "email", "write to", "mail me:", "contact", "send to", "reach us at"])
-        return o(lead) + entity(f"{word()}{rng.choice(['', '.' + word(), digits(2)])} {at} {word()} {dot} {rng.choice(sorted(_SUFFIXES))}", 1)
+        return o(lead) + entity(f"{word()}{rng.choice(['', '.' + word(), digits(2)])} {at} {word()} {dot} {rng.choice(['', '', f'{word()} {dot} '])}{rng.choice([word(), *sorted(_SUFFIXES)])}", 1)
 
     def phone() -> list[tuple[str, int]]:
         forms = (f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"0{digits(3)} {digits(7)}")
+        forms += (f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"{digits(2)} {digits(3)} {digits(2)} {digits(2)}", f"0{digits(3)} {digits(8)}", f"0{digits(2)}-{digits(7)}")
         return o(rng.choice(["call", "phone", "Tel:", "mobile", "fax", "dial", "Phone:", "contact"])) + entity(rng.choice(forms), 3)
 
     def other() -> list[tuple[str, int]]:
@@ -332,9 +333,9 @@ def _back(text: str, at: int, least: int) -> int:
 def _plausible(kind: int, found: str) -> bool:
     digits = sum(c.isdigit() for c in found)
     if kind == 3:
-        return 10 <= digits <= 11 and "+" not in found and "@" not in found
+        return 7 <= digits <= 15 and "+" not in found and "@" not in found  # with an area code; E.164 has 15 at most
     low = [w.strip(_EDGES).lower() for w in found.split()]
-    return len(low) >= 5 and low[1] == "at" and low[-2] == "dot" and low[-1] in _SUFFIXES
+    return len(low) >= 5 and low[1] == "at" and low[-2] == "dot" and low[-1] != ""
 
 
 def _batches(lengths: list[int]) -> Iterator[list[int]]:

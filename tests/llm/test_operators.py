@@ -482,6 +482,15 @@ def test_long_runs_are_not_cut(monkeypatch, piece):
     assert len(found) > 100 and [a for a, *_ in found] == begins
 
 
+def test_addresses_of_any_suffix_and_phones_of_other_lengths():
+    for found in ("john at example dot gov", "john at example dot co dot uk", "john at example dot ch", "john at example dot museum", "john at mail dot example dot com"):
+        assert added(f"please do write to {found} about the lunch of today") == [found]
+    for found in ("91 123 45 67", "01 23 45 67 89", "0171 12345678"):
+        assert added(f"for more of this call {found} before the lunch") == [found]
+    for other in ("met at nine on 2024-01-02 with 1234567 units", "we sold 300 at $100,200 in 2023 2024", "version 1.2.3 dot release at noon", "pages 100-200 of 3000"):
+        assert added(f"and so {other} of the lunch") == []
+
+
 def test_viterbi_is_the_best_path():
     rng, crf = np.random.default_rng(1), pii.Crf()
     crf.emit[:] = rng.normal(size=crf.emit.shape)
