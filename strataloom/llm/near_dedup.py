@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -17,8 +17,10 @@ from .shingles import distinct, mix, set_digests, shingled
 #: keys hold 2 * K minhashes, from 2 * M * K minhashes in all instead of 2 * M * M * K. At similarity s a
 #: pair meets with (1 - (1 - s**K)**M)**2: 0.99998 at 0.85, 0.9986 at 0.8, 2e-6 at 0.2.
 M, K = 24, 6
-#: Shingles that a cell of the exact comparison holds of each of its two parts, about.
-CELL_SHINGLES = 1_000_000
+#: Shingles and sets that a cell of the exact comparison holds of each of its two parts, about.
+CELL_SHINGLES, CELL_ROWS = 1_000_000, 256
+#: Pairs a row of open buckets beyond which stars are compared once more before all pairs are; and such turns at most.
+OPEN_PAIRS, TURNS = 64, 4
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, 2 * M * K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,12 +47,12 @@ def sub_keys(minima: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCH = "doc_id long, n_shingles long, d binary, a array<long>, b array<long>"
+_SKETCH = "doc_id long, t1 long, t2 long, n_shingles long, d binary, a array<long>, b array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in shingled(batch.column(1)):
+        for part in shingled(batch.column(3)):
             values, starts = distinct(part)
             sizes = np.diff(starts)
             full = np.flatnonzero(sizes)
@@ -58,24 +60,36 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 keys[full] = sub_keys(minhashes(values, np.append(starts[full], len(values)))).T.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.n + 1, dtype=np.int32) * M), pa.array(np.ascontiguousarray(keys[:, side]).ravel())) for side in (slice(0, M), slice(M, 2 * M))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(sizes), pa.array(set_digests(values, starts), pa.binary()), *lists], ["doc_id", "n_shingles", "d", "a", "b"])
+            own = [batch.column(k).slice(part.first, part.n) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(set_digests(values, starts), pa.binary()), *lists], ["doc_id", "t1", "t2", "n_shingles", "d", "a", "b"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, body) of (node, text): the set, ascending, 8 bytes a shingle."""
+    for batch in batches:
+        for part in shingled(batch.column(1)):
+            values, starts = distinct(part)
+            body = pa.array([values[starts[k] : starts[k + 1]].tobytes() for k in range(part.n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(np.diff(starts)), body], ["node", "n", "body"])
 
 
-def linked_pairs(values: np.ndarray, starts: np.ndarray, side: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def linked_pairs(values: np.ndarray, starts: np.ndarray, side: np.ndarray, threshold: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the sets that 100 * intersection >= threshold * union links.
 
-    side: 0 or 1 for each set; where both occur, only sets of different sides are compared. Every pair's
-    intersection is counted over the shingles that two sets at least share: exact, no bound on partners.
+    side: 0 or 1 for each set; where both occur, only sets of different sides are compared. labels: sets
+    of one label are known to be connected and are not compared. Every pair's intersection is counted
+    over the shingles that two sets at least share: exact, no bound on partners.
     """
     n = len(starts) - 1
     sizes = np.diff(starts)
     rows = np.repeat(np.arange(n), sizes)
-    order = np.argsort(values, kind="stable")
-    sorted_values, sorted_rows = values[order], rows[order]
-    runs = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1], [True]]))
-    lengths = np.diff(runs)
-    run_of = np.empty(len(values), np.int64)
-    run_of[order] = np.repeat(np.arange(len(lengths)), lengths)
+    two_sides = bool(side.any()) and not side.all()
+    _, run_of = np.unique(values, return_inverse=True)
+    asked = (side == 0)[rows] if two_sides else np.ones(len(rows), bool)
+    order = np.argsort(run_of[asked], kind="stable")
+    sorted_rows = rows[asked][order]
+    lengths = np.bincount(run_of[asked], minlength=run_of.max(initial=-1) + 1)
+    runs = np.cumsum(lengths) - lengths
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -84,126 +98,221 @@ def linked_pairs(values: np.ndarray, starts: np.ndarray, side: np.ndarray, thres
             x = parent[x]
         return x
 
-    two_sides = bool(side.any()) and not side.all()
     forest = []
-    for x in range(n):
+    for x in np.flatnonzero(side == 1) if two_sides else range(n):
         own = run_of[starts[x] : starts[x + 1]]
-        own = own[lengths[own] > 1]
-        if not len(own) or two_sides and not side[x]:
+        own = own[lengths[own] > (0 if two_sides else 1)]
+        if not len(own):
             continue
         first, size = runs[own], lengths[own]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
         shared = np.bincount(sorted_rows[at], minlength=n)
-        linked = 100 * shared >= threshold * (sizes[x] + sizes - shared)
-        linked &= (side == 0) if two_sides else np.arange(n) < x
-        for y in np.flatnonzero(linked & (shared > 0)):
-            if (r := root(int(y))) != (s := root(x)):
+        linked = (shared > 0) & (100 * shared >= threshold * (sizes[x] + sizes - shared))
+        if not two_sides:
+            linked &= np.arange(n) < x
+        if labels is not None:
+            linked &= labels != labels[x]
+        for y in np.flatnonzero(linked):
+            if (r := root(int(y))) != (s := root(int(x))):
                 parent[r] = s
-                forest.append((x, int(y)))
+                forest.append((int(x), int(y)))
     return forest
 
 
+_CELL = ["key", "i", "j"]
+
+
 def _cells(threshold: int):
-    """Over rows (cell, side, id, d, text) in cell order: links as (u, v)."""
-
-    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        values, sizes, ids, sides = [], [], [], []
-        for part in shingled(pa.array([r[3] for r in rows], pa.large_string())):
-            v, starts = distinct(part)
-            for k, d in enumerate(set_digests(v, starts)):
-                _, side, node, _, wanted = rows[part.first + k]
-                if d == wanted:  # not another text under the same id
-                    values.append(v[starts[k] : starts[k + 1]])
-                    sizes.append(len(values[-1]))
-                    ids.append(node)
-                    sides.append(side)
-        if len(ids) > 1:
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            yield from ((ids[x], ids[y]) for x, y in linked_pairs(np.concatenate(values), starts, np.array(sides), threshold))
+    """Over rows (key, i, j, node, side, label, body) in order of cell and node: links as (u, v)."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        found = linked_pairs(np.concatenate(sets), starts, np.array([r[4] for r in rows]), threshold, np.array([r[5] for r in rows]))
+        return [(rows[x][3], rows[y][3]) for x, y in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 3)), strict=True):
-                if row[0] != cell:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:3] != cell:
                     found += links(rows)
-                    cell, rows = row[0], []
-                rows.append(row)
+                    cell, rows = row[:3], []
+                if not rows or row[3] != rows[-1][3]:  # a repeated row of the table
+                    rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
-        if found := list(links(rows)):
+        if found := links(rows):
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def near_duplicates(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def _compared(cells: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) within cells(key, i, j, node, side, label); written."""
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    full = cells.join(bodies.select("node", "body"), "node").select(*_CELL, "node", "side", "label", "body")
+    return written(full.repartition(tasks, *_CELL).sortWithinPartitions(*_CELL, "node").mapInArrow(_cells(threshold), "u long, v long"), "links")
+
+
+def _parts(rows: int, shingles: int):
+    """How many parts a group of m sets with total shingles makes."""
+    return F.greatest(F.ceil(F.col("m") / F.lit(rows)), F.ceil(F.col("total") / F.lit(shingles))).cast("int")
+
+
+def _star_cells(members: DataFrame, turn: int, rows: int, shingles: int) -> DataFrame:
+    """Cells of one centre and a part of the sets that choose it, from members(key, node, n, w, label).
+
+    A bucket's centre is the set that meets most others in all buckets, as an original meets its copies
+    oftener than they meet each other; in later turns one by hash. Each set chooses one centre among its
+    buckets', the greatest, of another label: one comparison a set.
+    """
+    by_node = members.groupBy("node").agg(F.sum("w").alias("met"))
+    met = F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    ranked = members.join(by_node.select("node", met.alias("met")), "node")
+    rank = F.struct("met", (-F.col("node")).alias("minus"), F.col("label").alias("of"))
+    centres = ranked.groupBy("key").agg(F.max(rank).alias("centre"))
+    chosen = ranked.join(centres, "key").where(F.col("centre.of") != F.col("label"))
+    chosen = chosen.groupBy("node").agg(F.max("centre").alias("centre"), F.first("n").alias("n"), F.first("label").alias("label"))
+    edges = written(chosen.select("node", "n", "label", (-F.col("centre.minus")).alias("centre"), F.col("centre.of").alias("of")), "stars")
+    size = edges.groupBy("centre", "of").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("centre", "of", _parts(rows, shingles).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts")).cast("int")
+    own = edges.join(size.select("centre", "parts"), "centre").select(F.col("centre").alias("key"), part.alias("i"), F.lit(0).alias("j"), "node", F.lit(1).alias("side"), "label")
+    mid = size.select(F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.col("centre").alias("node"), F.lit(0).alias("side"), F.col("of").alias("label"))
+    return own.unionByName(mid)
+
+
+def _pair_cells(members: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """Cells of all pairs of parts of each bucket of members(key, node, n, label)."""
+    size = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("key", _parts(rows, shingles).alias("parts"))
+    placed = members.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return other.select("key", low.alias("i"), high.alias("j"), "node", F.when(low == F.col("part"), 0).otherwise(1).alias("side"), "label")
+
+
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(key, node, n, w): the buckets of two sets at least, one of those with the same members; w: its size times how many there are.
+
+    Members are told apart by 128 bits, the exclusive or of their hashes, so a large bucket is counted
+    in parts before anything of it meets.
+    """
+    first = sets.select("node", F.explode("a").alias("ka"))
+    shared = first.groupBy("ka").agg(F.count("*").alias("c")).where("c > 1").select("ka")
+    met = first.join(shared, "ka", "left_semi").groupBy("node").agg(F.collect_list("ka").alias("kas"))  # M at most
+    keyed = met.join(sets.select("node", "b"), "node").select("node", F.explode("kas").alias("ka"), "b").select("node", "ka", F.explode("b").alias("kb")).select("node", F.xxhash64("ka", "kb").alias("key"))
+    keyed = written(keyed, "keys")
+    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "node")).alias("y")).where("m > 1")
+    chosen = held.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("alike")).select("key", (F.col("m") * F.col("alike")).alias("w"))
+    return written(keyed.join(chosen, "key").join(sets.select("node", "n"), "node").select("key", "node", "n", "w"), "buckets")
+
+
+def _text_keys() -> list:
+    """128 bits that stand for a row's text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")]
+
+
+def classes(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL_SHINGLES, cell_rows: int = CELL_ROWS, open_pairs: int = OPEN_PAIRS) -> DataFrame:
+    """Per row: doc_id, t1, t2 (of its text), n_shingles, class (null without words) and component_id. See near_duplicates."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), F.col("text").alias("text"))
+    sketch = written(rows.mapInArrow(_sketch, _SKETCH), "sketch")
+    one = F.struct("doc_id", "t1", "t2")
+    sets = sketch.where("n_shingles > 0").groupBy("d").agg(F.min("doc_id").alias("id"), F.min(one).alias("one"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+    buckets = _buckets(sets)
+    asked = sets.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("one.doc_id").alias("of"), F.col("one.t1").alias("u1"), F.col("one.t2").alias("u2"))
+    # Merged at every size: a broadcast of the asked sets would only do for small inputs.
+    texts = asked.hint("merge").join(rows, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")))
+    bodies = written(texts.select("node", "text").mapInArrow(_bodies, "node long, n long, body binary"), "bodies")
+
+    members, links, labels = buckets.withColumn("label", F.col("node")), None, None
+    for turn in range(TURNS + 1):
+        if turn == 0:
+            cells = _star_cells(members, 0, cell_rows, cell_shingles)
+        else:
+            sizes = members.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
+            if not sizes["rows"]:
+                break
+            last = turn == TURNS or not gained or sizes["pairs"] <= open_pairs * sizes["rows"]
+            cells = _pair_cells(members, cell_rows, cell_shingles) if last else _star_cells(members, turn, cell_rows, cell_shingles)
+        found = _compared(cells, bodies, threshold)
+        gained = not found.isEmpty()
+        if gained:
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        if turn and last:
+            break
+        if gained:  # a bucket within one label is done
+            named = members.drop("label").join(labels.select("node", F.col("label").alias("to")), "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
+            members = written(named, "members")
+        mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        members = written(members.join(mixed, "key", "left_semi"), "open")
+
+    nodes = sets.select("d", "id", "node")
+    if labels is None:
+        of_set = nodes.select("d", F.col("node").alias("class"), F.col("id").alias("component_id"))
+    else:
+        placed = nodes.join(labels, "node", "left").select("d", "id", F.coalesce("label", "node").alias("class"))
+        least = placed.groupBy("class").agg(F.min("id").alias("component_id"))
+        of_set = placed.join(least, "class").select("d", "class", "component_id")
+    empty = F.col("n_shingles") == 0
+    out = sketch.select("doc_id", "t1", "t2", "n_shingles", "d").join(of_set, "d", "left")
+    return out.select("doc_id", "t1", "t2", "n_shingles", F.when(~empty, F.col("class")).alias("class"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, threshold: int = 85, **cells) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links sets of distinct 5-word shingles (A-Z lower-cased; a shorter text is one shingle) with
     100 * intersection >= threshold * union, threshold from 80. component_id is the least doc_id that
     links reach; kept marks it.
 
-    1. Sketch each text; equal sets collapse to one node, the least doc_id that has the set.
-    2. Nodes that share a sub-key of the first collection take the table keys (pairs of sub-keys); each
-       table bucket becomes a star to its least node, so a bucket of n costs n edges, not n * n.
-    3. Components of the stars hold every candidate pair. Each is dealt out into cells of pairs of parts
-       of at most about cell_shingles, where intersections are counted exactly on full sets; a cell
-       returns a spanning forest of its links. A component larger than a part thus meets in many tasks.
-    4. Components of the links.
-
-    Null text is empty. A text without words: n_shingles 0, linked with nothing. Rows of the same doc_id
-    are one node where they link. Null doc_id: never a node's name; such a row takes the component of a
-    row of equal set that has one, else component_id is null, and kept is false unless it is null.
-    Empty table: no rows. Other columns are ignored.
+    1. Sketch each text; equal sets collapse to one node.
+    2. Nodes that share a sub-key of the first collection take the table keys (pairs of sub-keys). Of
+       the buckets of a table key those with the same members collapse too.
+    3. Along stars: each node is compared on full sets with one centre among its buckets'. Links join
+       labels; a bucket that has one label is done. This settles exact originals with their copies at
+       one comparison a node, however many there are.
+    4. In buckets that still have several labels all pairs of different labels are compared, in cells of
+       at most cell_rows sets and cell_shingles shingles a side, so a bucket larger than a cell meets in
+       many tasks; where that is much (over open_pairs a row), other stars go first.
+    5. Components of the links.
+
+    Null text is empty. A text without words: n_shingles 0, linked with nothing. Very long texts are one
+    set as any other. Rows that repeat a doc_id with other texts are nodes of their own, whose links do
+    not mix. Null doc_id: a node as any other, but never a component_id while a row of its component has
+    one, and kept only in a component of null ids alone. Empty table: no rows. Other columns are ignored.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    sketch = written(rows.mapInArrow(_sketch, _SKETCH), "sketch")
-    sets = sketch.where("n_shingles > 0").groupBy("d").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("id IS NOT NULL")
-    sets = written(sets, "sets")
+    found = classes(documents, threshold, **cells).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    first = sets.select("id", F.explode("a").alias("ka"))
-    shared = first.groupBy("ka").agg(F.count("*").alias("c")).where("c > 1").select("ka")
-    met = first.join(shared, "ka", "left_semi").groupBy("id").agg(F.collect_list("ka").alias("kas"))
-    keyed = met.join(sets.select("id", "b"), "id").select("id", F.explode("kas").alias("ka"), "b").select("id", "ka", F.explode("b").alias("kb")).select("id", F.xxhash64("ka", "kb").alias("key"))
-    keyed = written(keyed, "keys")
-    centres = keyed.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
-    stars = keyed.join(centres, "key").select(F.col("id").alias("u"), "v").where("u <> v").distinct()
-    coarse = components(stars)
-
-    members = coarse.join(sets.select(F.col("id").alias("node"), "n", "d"), "node")
-    parts = members.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(cell_shingles)).cast("int").alias("parts"))
-    placed = members.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
-    placed = written(placed.select("node", "d", "label", "parts", "part"), "placed")
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    cells = other.select(F.xxhash64("label", low, high).alias("cell"), F.when(low == F.col("part"), 0).otherwise(1).alias("side"), F.col("node").alias("doc_id"), "d")
-    # Merged at every size: a broadcast of the cells would only do for small inputs.
-    texts = cells.hint("merge").join(rows, "doc_id").select("cell", "side", "doc_id", "d", "text")
-    spark = documents.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = texts.repartition(tasks, "cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_cells(threshold), "u long, v long")
-    labels = components(written(links, "links"))
-
-    named = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    of_node = labels.join(named, "label").select(F.col("node").alias("id"), "component_id")
-    of_set = sets.select("d", "id").join(of_node, "id", "left").select("d", F.coalesce("component_id", "id").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "d").join(of_set, "d", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def deduplicated(documents: DataFrame, threshold: int = 85) -> DataFrame:
-    """documents without all but one row of each component; all its columns. A doc_id that repeats keeps one row."""
-    found = written(near_duplicates(documents, threshold), "components")
-    kept, doc = fresh_name(documents, "kept_doc"), documents["doc_id"]
-    ids = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c"))
-    ids = ids.select(F.col("doc_id").alias(kept), F.col("c").alias(kept + "_n"))
-    out = documents.join(ids, doc == F.col(kept), "left_semi")
-    if not ids.where(F.col(kept + "_n") > 1).isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(documents.where(doc.isNull())) if not found.where("doc_id IS NULL").isEmpty() else out
+
+def deduplicated(documents: DataFrame, threshold: int = 85, **cells) -> DataFrame:
+    """documents with one row of each component, all its columns, and all rows without words.
+
+    The row kept is the one of the least doc_id (nulls last), of equal ids that of the least hash of its
+    text, of rows equal in both that of the least hash of all columns: rows that share an id but not a
+    component both stay. Columns of any name stay as they are. Empty table: empty.
+    """
+    found = written(classes(documents, threshold, **cells).select("doc_id", "t1", "t2", "class"), "classes")
+    made = {c: fresh_name(documents, c) for c in ("near_t1", "near_t2", "near_n", "near_id", "near_u1", "near_u2")}
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    best = found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("least")).select("least.doc_id", "least.t1", "least.t2")
+    wordless = found.where("class IS NULL").select("doc_id", "t1", "t2").distinct()
+    wanted = best.unionByName(wordless).select(F.col("doc_id").alias(made["near_id"]), F.col("t1").alias(made["near_u1"]), F.col("t2").alias(made["near_u2"]))
+    keyed = documents.withColumns({made["near_t1"]: F.xxhash64("text"), made["near_t2"]: F.xxhash64(F.lit("t"), "text")})
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col(made["near_id"])) & (F.col(made["near_t1"]) == F.col(made["near_u1"])) & (F.col(made["near_t2"]) == F.col(made["near_u2"]))
+    out = keyed.join(wanted, same, "left_semi")
+    repeated = found.where("class IS NOT NULL").groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("c")).where("c > 1")
+    if not repeated.isEmpty():  # numbered only then: else texts are not sorted
+        alike = Window.partitionBy("doc_id", made["near_t1"], made["near_t2"]).orderBy(F.xxhash64(*documents.columns))
+        wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        out = out.withColumn(made["near_n"], F.row_number().over(alike)).where((F.col(made["near_n"]) == 1) | ~F.coalesce(wordy, F.lit(False)))
+    return out.select(*documents.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

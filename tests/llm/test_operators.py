@@ -328,8 +328,8 @@ def edited(rng, words, n):
     return out
 
 
-@pytest.mark.parametrize("cell", [1_000_000, 300])
-def test_near_duplicates_equal_brute_force(spark, cell):
+@pytest.mark.parametrize("cells", [{}, {"cell_shingles": 300}, {"cell_rows": 4, "open_pairs": 0}])
+def test_near_duplicates_equal_brute_force(spark, cells):
     rng = random.Random(9)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([40, 150, 400]))] for _ in range(25)]
     rows = [(k, " ".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 4])))) for k in range(300)]
@@ -337,16 +337,53 @@ def test_near_duplicates_equal_brute_force(spark, cell):
     for k in range(300, 330):  # each links to its neighbours only
         chain = edited(rng, chain, 1)
         rows.append((k, " ".join(chain)))
-    rows += [(i, t) for i, t in ODD if i is None or i < 7] + [(400, rows[0][1].upper()), (None, rows[0][1])]
+    for k in range(330, 380):  # copies of one original that are farther from each other than from it
+        rows.append((k, " ".join(base[2] if k == 377 else edited(rng, base[2], 3))))
+    rows += [*((i and 500 + i, t) for i, t in ODD), (400, rows[0][1].upper()), (None, rows[0][1])]
     docs = docs_of(spark, rows).withColumn("d", F.lit(1)).withColumn("component_id", F.lit("x"))
-    out = near_dedup.near_duplicates(docs, cell_shingles=cell).collect()
+    out = near_dedup.near_duplicates(docs, **cells).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute_components(rows, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
-    kept = near_dedup.deduplicated(docs.unionByName(docs.where("doc_id = 1")))
+    kept = near_dedup.deduplicated(docs.unionByName(docs.where("doc_id = 1")), **cells)
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert sorted(ids) == sorted({c for i, _, c in brute_components(rows, 85) if c is not None}) and kept.columns == docs.columns
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    one, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one), (1, other), (5, one + " x"), (7, other + " x"), (None, "z " + one), (None, other), (1, one), (2, ""), (2, ""), (None, None), (8, "lone words of a last text here")]
+    docs = docs_of(spark, rows).withColumn("kept", F.lit(True))
+    found = near_dedup.classes(docs).collect()
+    of = {t: {r["class"] for r in found if r.n_shingles == len(shingle_set(t)) and r.component_id == 1} for t in (one, other)}
+    assert all(r.component_id == 1 for r in found if r.n_shingles > 50) and len(of[one] | of[other]) == 2
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.deduplicated(docs).collect()), key=repr)
+    assert kept == sorted([(1, one), (1, other), (2, ""), (2, ""), (None, None), (8, rows[-1][1])], key=repr)
+    mixed_up = docs.where(F.col("doc_id") == 1).withColumn("lang", F.monotonically_increasing_id().cast("string"))
+    assert near_dedup.deduplicated(mixed_up).count() == 2  # rows equal in id and text: one stays, always the same
+    assert near_dedup.deduplicated(mixed_up).collect() == near_dedup.deduplicated(mixed_up).collect()
+
+
+def test_linked_pairs_count_shared_shingles():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(9)]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        side, labels = rng.integers(0, 2, 9), rng.integers(0, 6, 9)
+        both = bool(side.any()) and not side.all()
+        links = {(x, y) for x in range(9) for y in range(x) if labels[x] != labels[y] and (not both or side[x] != side[y]) and 100 * len(np.intersect1d(sets[x], sets[y])) >= 50 * len(np.union1d(sets[x], sets[y]))}
+        group = lambda pairs: sorted(sorted(c) for c in _groups(9, pairs))
+        found = near_dedup.linked_pairs(np.concatenate(sets), starts, side, 50, labels)
+        assert {(max(p), min(p)) for p in found} <= links and group(found) == group(links)
+
+
+def _groups(n, pairs):
+    of = list(range(n))
+    for x, y in pairs:
+        a, b = of[x], of[y]
+        of = [a if z == b else z for z in of]
+    return [[k for k in range(n) if of[k] == z] for z in set(of)]
+
+
 def test_near_duplicates_of_nothing(spark):
     none = docs_of(spark, [])
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicated(none).count() == 0
