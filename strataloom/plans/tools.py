@@ -22,12 +22,13 @@ from . import render
 
 @dataclass
 class Graph:
-    """symbols, edges(src, dst, proven), the references behind them, and whether patterns alone made it."""
+    """symbols, edges(src, dst, proven), the references behind them, whether patterns alone made it, and files that broke their tagger."""
 
     symbols: DataFrame
     edges: DataFrame
     resolved: DataFrame | None
     by_pattern: bool = False
+    errors: DataFrame | None = None
 
 
 def build_graph(files: DataFrame, precise: DataFrame | None = None, tags: DataFrame | None = None) -> Graph:
@@ -45,7 +46,22 @@ def build_graph(files: DataFrame, precise: DataFrame | None = None, tags: DataFr
     edges = resolve.edges_of(resolved)
     if precise is not None:
         edges = graph.with_precise(edges, graph.map_precise(symbols, precise, "name"))
-    return Graph(symbols, edges.persist(), resolved)
+    return Graph(symbols, edges.persist(), resolved, errors=taggers.errors(rows))
+
+
+def _listed(rows: DataFrame | None, most: int = 5) -> str:
+    """The first few names of a table's first column, and how many more there are."""
+    if rows is None:
+        return ""
+    name = rows.columns[0]
+    found = [r[0] for r in rows.select(name).orderBy(name).limit(most + 1).collect()]
+    more = rows.count() - most if len(found) > most else 0
+    return ", ".join(found[:most]) + (f" and {more} more" if more else "")
+
+
+def _unread(files: DataFrame, parse) -> str:
+    broken = _listed(files_.unreadable(files, parse))
+    return f"Not readable: {broken}." if broken else ""
 
 
 class Repository:
@@ -85,6 +101,8 @@ class Repository:
         big = [r["path"] for r in files_.oversize(self.files).orderBy("path").limit(5).collect()]
         if big:
             notes.append("Too large to read: " + ", ".join(big))
+        if broken := _listed(g.errors):
+            notes.append("Not read, as their tagger failed: " + broken)
         langs = {r["lang"] for r in g.symbols.select("lang").distinct().collect()}  # a few names
         if "hcl" in langs:
             notes.append("HCL edges follow addresses, module sources and includes; nothing is evaluated.")
@@ -218,9 +236,11 @@ class Repository:
         return {"files": history.top_history(found, limit), "total_files": found.count(), "note": ""}
 
     def deps(self, form: str = "", cargo_metadata: DataFrame | None = None) -> dict:
-        found = manifests.manifests(self.scanned, cargo_metadata).persist()
+        most = manifests.MAX_MANIFESTS
+        every = manifests.manifests(self.scanned, cargo_metadata, most + 1).persist()
+        found = every.orderBy("manifest").limit(most)
         sums = manifests.totals(found).first()
-        out = {"manifests": found, "total_direct": sums["total_direct"], "indirect": sums["indirect"], "truncated": sums["manifests"] >= manifests.MAX_MANIFESTS}
+        out = {"manifests": found, "total_direct": sums["total_direct"], "indirect": sums["indirect"], "truncated": every.count() > most, "note": _unread(self.scanned, manifests.parse)}
         if form == "mermaid":
             out["mermaid"], cut = manifests.mermaid(found)
             out["truncated"] |= cut
@@ -228,22 +248,32 @@ class Repository:
 
     def schema(self, strict: bool = False) -> dict:
         entities, columns, links = schema.entities(self.scanned, strict)
-        return {"entities": entities, "columns": columns, "relationships": links, "mermaid": render.entity_diagram(entities, columns, links)}
+        unseen = schema.left_out(self.scanned)
+        note = f"{unseen} SQL files beyond the first {schema.MAX_FILES} were not read." if unseen else ""
+        return {"entities": entities, "columns": columns, "relationships": links, "mermaid": render.entity_diagram(entities, columns, links), "truncated": unseen > 0, "note": note}
 
     def routes(self) -> dict:
-        found = routes.routes(self.scanned).persist()
-        total = found.count()
-        return {"routes": found, "total": total, "truncated": total >= routes.MAX_ROUTES}
+        most = routes.MAX_ROUTES
+        every = routes.routes(self.scanned, max_routes=most + 1).persist()
+        total, unseen = every.count(), routes.left_out(self.scanned)
+        note = f"{unseen} files beyond the first {routes.MAX_FILES} were not read." if unseen else ""
+        return {"routes": every.orderBy("path", "method", "file").limit(most), "total": min(total, most), "truncated": total > most or unseen > 0, "note": note}
 
     def stacks(self) -> dict:
-        found = stacks.stacks(self.scanned).persist()
-        total = found.count()
+        most = stacks.MAX_STACKS
+        every = stacks.stacks(self.scanned, most + 1).persist()
+        total = every.count()
         note = "" if total or self.scanned.where(F.col("path").rlike(r"\.(?:tf|tofu)$")).isEmpty() else "Terraform files without state configuration: a library of modules, or state comes from elsewhere."
-        return {"stacks": found, "total": total, "truncated": total >= stacks.MAX_STACKS, "note": note}
+        return {"stacks": every.orderBy("path").limit(most), "total": min(total, most), "truncated": total > most, "note": note}
 
-    def recon(self) -> dict:
+    def recon(self, cargo_targets: DataFrame | None = None) -> dict:
+        """cargo_targets: rows of manifests.TARGETS; their programs and libraries are entry points too."""
         files = self.scanned
         labels = {r["facet"]: r["labels"] for r in recon.summary(files).collect()}  # a row a facet
+        entries = set(labels.get("entry_point", []))
+        if cargo_targets is not None:
+            built = cargo_targets.where(F.arrays_overlap("kind", F.array(F.lit("bin"), F.lit("lib"))))
+            entries |= {r["src_path"] for r in built.select("src_path").distinct().collect()}  # a workspace's few targets
         churn = self._history()
         notes = []
         if not labels.get("ecosystem"):
@@ -252,8 +282,9 @@ class Repository:
             notes.append("No tests found.")
         return {
             "stack": labels.get("ecosystem", []),
+            "manifests": labels.get("manifest", []),
             "frameworks": labels.get("framework", []),
-            "entry_points": labels.get("entry_point", []),
+            "entry_points": sorted(entries),
             "test_layout": labels.get("test_layout", []),
             "tooling": labels.get("tooling", []),
             "risk_hints": recon.risk_hints(files),

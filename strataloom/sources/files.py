@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,17 +50,38 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(path)), F.try_element_at(named, F.lower(basename(path))))
 
 
+def kept_folders(root: str, keep_github: bool = False) -> list[str]:
+    """The folders of a local tree that are read: ignored and dotted ones are not entered. Names alone reach the driver."""
+    out = []
+    for here, below, names in os.walk(root):
+        below[:] = sorted(f for f in below if f not in P.IGNORED_FOLDERS and (not f.startswith(".") or keep_github and f == ".github"))
+        if names:
+            out.append(here)
+    return out
+
+
 def walk(spark: SparkSession, root: str, keep_github: bool = False) -> DataFrame:
     """files(path, lang, size, hash, content): a repository without ignored and dotted folders; path relative to root, size in bytes.
 
-    Spark lists and reads in parallel; contents that a query does not select are not decoded.
+    Spark reads in parallel; contents that a query does not select are not decoded. Of a local tree only
+    kept folders are listed; of another file system all are, and ignored ones go by their path. Bytes
+    that are no UTF-8 become U+FFFD, so one such file does not end a query.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    reader = spark.read.format("binaryFile")
+    if "://" in base:
+        raw = reader.option("recursiveFileLookup", "true").load(base)
+    else:
+        raw = reader.load([_escaped(f) for f in kept_folders(base, keep_github)] or [_escaped(base)])
     full = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     rows = raw.select(F.substring_index(full, base + "/", -1).alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"))
     rows = rows.where(~P.is_ignored_path(F.col("path"), keep_github))
-    return rows.select("path", language(F.col("path")).alias("lang"), "size", F.sha2("bytes", 256).alias("hash"), F.decode("bytes", "UTF-8").alias("content"))
+    return rows.select("path", language(F.col("path")).alias("lang"), "size", F.sha2("bytes", 256).alias("hash"), F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
+
+
+def _escaped(path: str) -> str:
+    """A path as a pattern that fits itself alone."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
 
 
 def from_rows(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
@@ -91,26 +113,47 @@ def refreshed(files: DataFrame, previous: DataFrame | None, tag: Callable[[DataF
     return kept.unionByName(tag(fresh), allowMissingColumns=True)
 
 
+def _pointers(spark: SparkSession, folder: str, version: int) -> tuple[object, list[tuple[int, str]]]:
+    """(file system, (number, name of the folder) of this version's pointers, oldest first).
+
+    A pointer is an empty file v<version>.<number>.<id>.current that names the folder v<version>-<id>.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return fs, []
+    names = [f.getPath().getName().split(".") for f in fs.listStatus(at)]
+    return fs, sorted((int(n[1]), n[2]) for n in names if len(n) == 4 and n[0] == f"v{version}" and n[3] == "current")
+
+
 def save_index(tags: DataFrame, folder: str, version: int = INDEX_VERSION) -> None:
-    """Written beside, then swapped in, so that a reader sees the old or the new index."""
+    """A new folder, then a new pointer to it, by one atomic creation of a file.
+
+    Until the pointer is there, readers see the index before, whatever fails; nothing live is deleted.
+    The one before stays for readers under way, older ones go.
+    """
     spark = tags.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, final = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (f".new-{version}", f"v{version}"))
-    tags.write.mode("overwrite").parquet(new.toString())
-    fs = final.getFileSystem(conf)
-    fs.delete(final, True)
-    if not fs.rename(new, final):
-        raise OSError(f"{final.toString()} could not be replaced")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    own = uuid.uuid4().hex
+    tags.write.parquet(f"{folder}/v{version}-{own}")
+    fs, before = _pointers(spark, folder, version)
+    number = before[-1][0] + 1 if before else 1
+    _point(fs, path(f"{folder}/v{version}.{number:012d}.{own}.current"))
+    for n, old in before[:-1]:
+        fs.delete(path(f"{folder}/v{version}.{n:012d}.{old}.current"), False)
+        fs.delete(path(f"{folder}/v{version}-{old}"), True)
 
 
-def load_index(spark: SparkSession, folder: str, version: int = INDEX_VERSION) -> DataFrame | None:
-    """None where there is no readable index of this version: then all files are tagged anew."""
-    from pyspark.errors import AnalysisException
+def _point(fs, pointer) -> None:
+    if not fs.createNewFile(pointer):
+        raise OSError(f"{pointer.toString()} is there already: another writer was first")
+
 
-    try:
-        return spark.read.parquet(f"{folder}/v{version}")
-    except AnalysisException:
-        return None
+def load_index(spark: SparkSession, folder: str, version: int = INDEX_VERSION) -> DataFrame | None:
+    """None where no index of this version was ever saved: then all files are tagged anew. An index that is named but cannot be read is an error."""
+    _, found = _pointers(spark, folder, version)
+    return spark.read.parquet(f"{folder}/v{version}-{found[-1][1]}") if found else None
 
 
 # What a definition looks like by extension; group 1 is its name.
@@ -146,8 +189,15 @@ def pattern_symbols(files: DataFrame) -> DataFrame:
     return named.select("qname", "name", F.lit("symbol").alias("kind"), "file", "line", "lang", F.lit("").alias("recv"), F.lit(False).alias("test"), F.lit(False).alias("public"))
 
 
-def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
-    """Rows that parse(path, content) makes of each file, a pandas batch at a time; a file that breaks the parser gives none."""
+#: What a parser raises on text that it cannot read; anything else is a fault of ours and ends the query.
+_UNREADABLE = (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError)
+
+
+def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema: str, broken: Callable[[str, str], list[tuple]] | None = None) -> DataFrame:
+    """Rows that parse(path, content) makes of each file, a pandas batch at a time.
+
+    A file that breaks the parser gives the rows of broken(path, message), else none; unreadable() tells which.
+    """
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -159,13 +209,23 @@ def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     rows += parse(path, content or "")
-                except (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
-                    continue
+                except _UNREADABLE as e:
+                    rows += broken(path, f"{type(e).__name__}: {e}") if broken else []
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, kind)
 
 
+def unreadable(files: DataFrame, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """(path, error) of the files that break a parser."""
+
+    def only_errors(path: str, content: str) -> list[tuple]:
+        parse(path, content)
+        return []
+
+    return per_file(files, only_errors, "path string, error string", lambda path, message: [(path, message)])
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row by order of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 _PARTS = re.compile(
     r"""(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z)|\#[^\n]*)""",
@@ -50,10 +51,10 @@ class Lines:
 
 
 def closing(text: str, at: int, pair: str = "{}") -> int:
-    """Offset of the bracket that closes the one at this offset; -1 if none does."""
+    """Offset of the bracket that closes the one at this offset, brackets in double quotes aside; -1 if none does."""
     depth = 0
-    for m in re.compile("[" + re.escape(pair) + "]").finditer(text, at):
-        depth += 1 if m[0] == pair[0] else -1
+    for m in re.compile(r'"(?:\\.|[^"\\\n])*"|[' + re.escape(pair) + "]").finditer(text, at):
+        depth += (m[0] == pair[0]) - (m[0] == pair[1])
         if not depth:
             return m.start()
     return -1
@@ -101,3 +102,39 @@ def above(path: str) -> Iterator[str]:
     while here:
         here = folder(here)
         yield here
+
+
+_TOKEN = re.compile(r"""(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>:=|\S)""", re.DOTALL)
+
+
+@dataclass(frozen=True)
+class Token:
+    """A quoted text (value: what stands between the quotes), a name, or a mark; and where it starts and ends."""
+
+    sort: str
+    value: str
+    start: int
+    end: int
+
+
+def tokens(code: str) -> list[Token]:
+    """Quoted texts, names and marks of code without comments, whatever the language."""
+    out = []
+    for m in _TOKEN.finditer(code):
+        sort = m.lastgroup or "mark"
+        out.append(Token(sort, m[0][1:-1] if sort == "text" else m[0], *m.span()))
+    return out
+
+
+_OPENERS, _CLOSERS = "([{", ")]}"
+
+
+def partners(found: list[Token]) -> dict[int, int]:
+    """Place of each opening bracket: that of the bracket that closes it; unclosed ones are left out."""
+    out, open_ = {}, []
+    for k, t in enumerate(found):
+        if t.sort == "mark" and t.value in _OPENERS:
+            open_.append(k)
+        elif t.sort == "mark" and t.value in _CLOSERS and open_:
+            out[open_.pop()] = k
+    return out

@@ -41,7 +41,7 @@ def tag_rows(path: str, lang: str, content: str) -> list[tuple]:
 
 
 def tag(files: DataFrame) -> DataFrame:
-    """Tag rows of files(path, lang, content), with hash where files have one; a file that breaks its tagger has none."""
+    """Tag rows of files(path, lang, content), with hash where files have one; a file that breaks its tagger has one row 'error', with the message as name."""
     known = files.where(F.col("lang").isin(*TAGGERS))
     joint = known.withColumn("content", F.concat("lang", F.lit("\n"), "content"))
 
@@ -49,7 +49,8 @@ def tag(files: DataFrame) -> DataFrame:
         lang, _, content = text.partition("\n")
         return tag_rows(path, lang, content)
 
-    rows = per_file(joint, both, _SCHEMA)
+    fields = [f.split()[0] for f in _SCHEMA.split(", ")]
+    rows = per_file(joint, both, _SCHEMA, lambda path, message: [tuple({"row": "error", "file": path, "name": message}.get(f) for f in fields)])
     return rows.join(files.select(F.col("path").alias("file"), "hash"), "file").withColumn("path", F.col("file")) if "hash" in files.columns else rows
 
 
@@ -59,6 +60,11 @@ def symbols(tags: DataFrame) -> DataFrame:
     return first_of(rows, ["qname"], [F.desc("nth")]).select("qname", "name", "kind", "file", "line", "col", "lang", "recv", "test", "public")
 
 
+def errors(tags: DataFrame) -> DataFrame:
+    """(file, error) of files that broke their tagger."""
+    return tags.where("row = 'error'").select("file", F.col("name").alias("error"))
+
+
 def references(tags: DataFrame) -> DataFrame:
     rows = tags.where("row = 'ref'")
     return rows.select(F.xxhash64("file", "nth").alias("ref_id"), F.col("qname").alias("caller_qname"), F.col("file").alias("caller_file"), "callee_name", "callee_recv", "allow_bare")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from ..hcl import parent_folder_file, read, unquoted
 from ..lexical import above, closing, folder, without_comments
 from ..stacks import source_of
 from .base import Definition, FileTags, Import, Reference
@@ -115,13 +116,13 @@ def hcl(path: str, text: str) -> FileTags:
                 out.references.append(Reference(target.rpartition("/")[2], start, end, alias))
         elif kind == "include":
             label = one or "include"
-            up = re.compile(r'find_in_parent_folders\(\s*(?:"([^"]*)")?\s*\)').search(code, inner, end)
-            names = [up[1]] if up and up[1] else ["root.hcl", "terragrunt.hcl"]
-            literal = _attribute(code, inner, end, "path")
-            where = [f"{d}/{n}".lstrip("/") for n in names for d in above(path)] if up else [source_of(path, literal)[0]] if literal and "${" not in literal else []
+            asked = read(code[inner:end]).expression("path")
+            up, literal = parent_folder_file(asked), unquoted(asked)
+            names = [up] if up else ["root.hcl", "terragrunt.hcl"]
+            where = [f"{d}/{n}".lstrip("/") for n in names for d in above(path)] if up is not None else [source_of(path, literal)[0]] if literal and "${" not in literal else []
             if where:
                 alias = f"hcl-import:include.{label}"
-                stem = names[0].removesuffix(".hcl") if up else literal.rpartition("/")[2].removesuffix(".hcl")
+                stem = names[0].removesuffix(".hcl") if up is not None else literal.rpartition("/")[2].removesuffix(".hcl")
                 out.imports.append(Import(alias, label, where))
                 out.references.append(Reference(stem, start, end, alias))
         elif kind == "terraform" and layer:

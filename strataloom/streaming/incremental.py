@@ -14,8 +14,10 @@ from ..sources.files import first_of, load_index, refreshed, save_index
 def index_stream(versions: DataFrame, folder: str, tag: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keeps the index in folder at the newest version of each file of a stream versions(path, lang, size, hash, content, seq).
 
-    Each micro-batch tags only files whose hash is new; null content deletes a file. The swap of the
-    index is atomic and a batch that runs again finds its files unchanged, so repeats do no harm.
+    Each micro-batch tags only files whose hash is new; null content deletes a file. The index goes over
+    to the new one by one atomic step, and a batch that runs again finds its files unchanged, so repeats
+    do no harm. An index that is named but not readable ends the stream: it is never begun anew from a
+    batch's own files.
     """
 
     def merge(batch: DataFrame, _: int) -> None:

@@ -5,7 +5,7 @@ import pytest
 
 from strataloom.plans.tools import Repository, build_graph
 from strataloom.sources import files as files_
-from strataloom.sources import gitlog, guide, lexical, manifests, recon, routes, schema, stacks, taggers
+from strataloom.sources import gitlog, guide, hcl, lexical, manifests, recon, routes, schema, stacks, taggers
 from strataloom.streaming.incremental import index_stream
 
 
@@ -93,40 +93,64 @@ def test_python_svelte_html(spark):
 
 
 HCL = {
-    "root.hcl": 'remote_state {\n  backend = "s3"\n}\n',
-    "modules/inventory/variables.tf": 'variable "nodes" {}\n',
-    "modules/inventory/main.tf": "locals {\n  controlplane = [for n in var.nodes : n if n.cp]\n}\n",
-    "modules/inventory/outputs.tf": 'output "controlplane_nodes" {\n  value = local.controlplane\n}\n',
-    "modules/redfish/main.tf": 'variable "nodes" {}\nresource "null_resource" "x" {\n  for_each = var.nodes\n}\n',
-    "modules/orchestrator/variables.tf": 'variable "abandoned_knob" {}\n',
-    "modules/orchestrator/main.tf": 'variable "platform" {}\nmodule "inventory" {\n  source = "../inventory"\n  nodes  = var.platform\n}\nmodule "redfish" {\n  source = "../redfish"\n  nodes  = module.inventory.controlplane_nodes\n}\n',
-    "environments/non-prod/pod0/vpc/terragrunt.hcl": "inputs = {}\n",
-    "environments/non-prod/pod0/ocp1/terragrunt.hcl": 'include "root" {\n  path = find_in_parent_folders("root.hcl")\n}\nterraform {\n  source = "${get_repo_root()}//modules/orchestrator"\n}\ndependency "vpc" {\n  config_path = "../vpc"\n}\ninputs = {\n  platform = dependency.vpc.outputs.id\n}\n',
+    "root.hcl": '# state of every unit\nremote_state {\n  backend = "s3"\n  config = {\n    bucket = "b"\n  }\n}\n',
+    "parts/network/inputs.tf": 'variable "zones" {}\n',
+    "parts/network/plan.tf": "locals {\n  wide = { for z in var.zones : z => { size = 1 } }\n}\n",
+    "parts/network/results.tf": 'output "wide_zones" {\n  value = local.wide\n}\n',
+    "parts/alarms/all.tf": 'variable "zones" {}\nresource "pager_rule" "late" {\n  for_each = var.zones\n}\n',
+    "parts/shop/unused.tf": 'variable "never_read" {}\n',
+    "parts/shop/all.tf": 'variable "tier" {}\nmodule "network" {\n  source = "../network"\n  zones  = var.tier\n}\nmodule "alarms" {\n  source = "../alarms"\n  zones  = module.network.wide_zones\n}\n',
+    "live/north/base/terragrunt.hcl": "inputs = {}\n",
+    "live/north/shop/terragrunt.hcl": 'include "top" {\n  path = find_in_parent_folders("root.hcl")\n}\nterraform {\n  source = "${get_repo_root()}//parts/shop"\n}\ndependency "base" {\n  config_path = "../base"\n  mock_outputs = {\n    id = "{"\n  }\n}\ninputs = {\n  tier = dependency.base.outputs.id\n}\n',
 }
 
 
 def test_hcl_graph(spark):
     g = build_graph(files_.from_rows(spark, HCL))
     got = {tuple(e)[:2] for e in g.edges.collect()}
-    o, v, env = "modules/orchestrator/main.tf", "modules/inventory", "environments/non-prod/pod0"
+    shop, net, unit = "parts/shop/all.tf", "parts/network", "live/north/shop/terragrunt.hcl"
     want = {
-        (f"{o}::module.inventory", f"{v}/variables.tf::var.nodes"),
-        (f"{o}::module.redfish", "modules/redfish/main.tf::var.nodes"),
-        (f"{o}::module.redfish", f"{o}::module.inventory"),
-        (f"{o}::module.redfish", f"{v}/outputs.tf::output.controlplane_nodes"),
-        (f"{v}/outputs.tf::output.controlplane_nodes", f"{v}/main.tf::local.controlplane"),
-        (f"{v}/main.tf::local.controlplane", f"{v}/variables.tf::var.nodes"),
-        (f"{env}/ocp1/terragrunt.hcl::ocp1", "root.hcl::root"),
-        (f"{env}/ocp1/terragrunt.hcl::ocp1", f"{o}::var.platform"),
-        (f"{env}/ocp1/terragrunt.hcl::ocp1", f"{env}/ocp1/terragrunt.hcl::dependency.vpc"),
-        (f"{env}/ocp1/terragrunt.hcl::dependency.vpc", f"{env}/vpc/terragrunt.hcl::vpc"),
+        (f"{shop}::module.network", f"{net}/inputs.tf::var.zones"),
+        (f"{shop}::module.alarms", "parts/alarms/all.tf::var.zones"),
+        (f"{shop}::module.alarms", f"{shop}::module.network"),
+        (f"{shop}::module.alarms", f"{net}/results.tf::output.wide_zones"),
+        (f"{net}/results.tf::output.wide_zones", f"{net}/plan.tf::local.wide"),
+        (f"{net}/plan.tf::local.wide", f"{net}/inputs.tf::var.zones"),
+        (f"{unit}::shop", "root.hcl::root"),
+        (f"{unit}::shop", f"{shop}::var.tier"),
+        (f"{unit}::shop", f"{unit}::dependency.base"),
+        (f"{unit}::dependency.base", "live/north/base/terragrunt.hcl::base"),
     }
     assert want <= got, want - got
     from strataloom.operators.changes import dead_code
 
     dead = {x.qname: x.confidence for x in dead_code(g.symbols, g.edges).collect()}
-    assert dead["modules/orchestrator/variables.tf::var.abandoned_knob"] == "high"
-    assert f"{v}/variables.tf::var.nodes" not in dead and not any("module." in q or "null_resource" in q for q in dead)
+    assert dead["parts/shop/unused.tf::var.never_read"] == "high"
+    assert f"{net}/inputs.tf::var.zones" not in dead and not any("module." in q or "pager_rule" in q for q in dead)
+
+
+def test_hcl_blocks():
+    text = 'a = "x"\nb "l" "m" {\n  c = { d = "}" , e = "f" } // g\n  h = [\n    1, "{",\n  ]\n  i { j = "${k("l")}" }\n  /* n = "o" */\n}\nz = foo("p", { q = 1 })\n'
+    top = hcl.read(text)
+    b = top.of("b")[0]
+    assert top.literal("a") == "x" and b.labels == ["l", "m"] and b.object("c").values == [("d", '"}"'), ("e", '"f"')]
+    assert b.expression("h").startswith("[") and b.expression("h").endswith("]") and b.of("i")[0].literal("j") == '${k("l")}' and b.inner_literal("e") == "f"
+    assert top.expression("z") == 'foo("p", { q = 1 })' and not b.literal("n") and [x.kind for x in top.everywhere("i")] == ["i"]
+    assert hcl.parent_folder_file('find_in_parent_folders("r.hcl")') == "r.hcl" and hcl.parent_folder_file("find_in_parent_folders()") == "" and hcl.parent_folder_file('"${find_in_parent_folders("a")}"') == "a" and hcl.parent_folder_file('"x"') is None
+    assert hcl.read("a {").blocks[0].kind == "a" and hcl.read("} } = {").blocks == [] and hcl.read("").values == []
+
+
+def test_terraform_manifests(spark):
+    rows = {
+        "a/versions.tf": 'terraform {\n  required_version = ">= 1.5"\n  required_providers {\n    aws = {\n      source  = "hashicorp/aws"\n      version = "~> 5.0" # five\n    }\n    null = { source = "hashicorp/null", version = "3.2" }\n  }\n}\nmodule "near" {\n  source = "./near"\n}\nmodule "far" {\n  source  = "org/far/aws"\n  version = "1.2.3"\n  tags = { version = "no" }\n}\n',
+        "b/.terraform.lock.hcl": 'provider "registry.terraform.io/hashicorp/aws" {\n  version = "5.1.0"\n  hashes = [\n    "h1:{x",\n  ]\n}\n',
+        "c/terragrunt.hcl": 'terraform {\n  source = "git::https://example.invalid/m.git?ref=v1"\n}\n',
+    }
+    by = {m.manifest: m for m in manifests.manifests(files_.from_rows(spark, rows)).collect()}
+    deps = lambda m: [(d.name, d.version, d.kind) for d in by[m].direct]
+    assert deps("a/versions.tf") == [("hashicorp/aws", "~> 5.0", "provider"), ("hashicorp/null", "3.2", "provider"), ("org/far/aws", "1.2.3", "module")] and by["a/versions.tf"].engines == {"terraform": ">= 1.5"}
+    assert deps("b/.terraform.lock.hcl") == [("registry.terraform.io/hashicorp/aws", "5.1.0", "locked")] and by["b/.terraform.lock.hcl"].ecosystem == "Terraform"
+    assert deps("c/terragrunt.hcl") == [("git::https://example.invalid/m.git?ref=v1", "", "module")]
 
 
 def test_routes(spark):
@@ -134,7 +158,7 @@ def test_routes(spark):
         "main.go": 'func main() {\n r.GET("/users", h)\n r.POST("/users", h)\n mux.HandleFunc("/health", h)\n api := r.Group("/api")\n api.GET("/x", h)\n r.Route("/v1", func(r chi.Router) {\n  r.Get("/y", h)\n })\n r.GET("/z", h)\n cache.Get("timeout")\n}\n',
         "app.js": "app.get('/products', h);\nrouter.delete('/products/:id', h); // app.get('/no')\nconst s = \"app.get('/quoted')\";\n",
         "a.py": '@app.route("/orders", methods=["GET","POST"])\n@app.get("/orders/<id>")\n',
-        "src/routes/[userId]/+server.ts": "export const GET = 1; export async function POST() {}",
+        "src/routes/(shop)/carts/[cartId]/+server.ts": "export const GET = 1; export async function POST() {}",
         "app/(group)/blog/[slug]/page.tsx": "",
         "pages/users/[id].tsx": "",
         "pages/index.tsx": "",
@@ -145,11 +169,76 @@ def test_routes(spark):
     got = {(r.method, r.path, r.file) for r in routes.routes(files_.from_rows(spark, rows)).collect()}
     assert got == {
         ("GET", "/users", "main.go"), ("POST", "/users", "main.go"), ("ANY", "/health", "main.go"), ("GET", "/api/x", "main.go"), ("GET", "/v1/y", "main.go"), ("GET", "/z", "main.go"), ("GET", "/products", "app.js"), ("DELETE", "/products/:id", "app.js"),
-        ("GET", "/orders", "a.py"), ("POST", "/orders", "a.py"), ("GET", "/orders/<id>", "a.py"), ("GET", "/:userId", "src/routes/[userId]/+server.ts"), ("POST", "/:userId", "src/routes/[userId]/+server.ts"), ("GET", "/blog/:slug", "app/(group)/blog/[slug]/page.tsx"),
+        ("GET", "/orders", "a.py"), ("POST", "/orders", "a.py"), ("GET", "/orders/<id>", "a.py"), ("GET", "/carts/:cartId", "src/routes/(shop)/carts/[cartId]/+server.ts"), ("POST", "/carts/:cartId", "src/routes/(shop)/carts/[cartId]/+server.ts"), ("GET", "/blog/:slug", "app/(group)/blog/[slug]/page.tsx"),
         ("GET", "/users/:id", "pages/users/[id].tsx"), ("GET", "/", "pages/index.tsx"), ("ANY", "/settings", "src/App.tsx"), ("ANY", "/profile/:id", "src/App.tsx"), ("ANY", "/users", "app/app.routes.ts"), ("ANY", "/admin", "app/app.routes.ts"),
     }
 
 
+def test_route_calls_in_nested_code(spark):
+    go = 'func f() {\n s := `r.GET("/no")`\n r.Route("/a",\n  func(r chi.Router) {\n   r.Get("/b", func() { x := "}" })\n   r.Group("/c").Get("/d", h)\n })\n r.Get("/e", h); r.Put("/f", h)\n sub := r.PathPrefix("/g").Subrouter()\n sub.HandleFunc("/h", h)\n}\n'
+    assert [(m, p) for m, p, _ in routes.go_routes(go)] == [("GET", "/a/b"), ("GET", "/e"), ("PUT", "/f"), ("ANY", "/g/h")]
+    js = "const r = [{ path: 'top', children: [{ path: 'inner', component: X, data: { a: 1 } }], loadChildren: () => y }]"
+    assert [(x[1], x[5]) for x in routes.code_routes("a.ts", js) if x[5] == "Angular Router"] == [("/top", "Angular Router"), ("/inner", "Angular Router")]
+
+
+def test_caps_are_reported(spark, monkeypatch):
+    rows = {f"f{k}.js": f"app.get('/p{k}', h)" for k in range(5)} | {f"s{k}.sql": f"create table t{k} (id int);" for k in range(3)} | {f"m{k}/go.mod": f"module m{k}\n" for k in range(3)} | {"bad/package.json": "{"}
+    r = repo(spark, rows)
+    assert not r.routes()["truncated"] and not r.deps()["truncated"] and not r.schema()["truncated"] and "bad/package.json" in r.deps()["note"]
+    monkeypatch.setattr(routes, "MAX_ROUTES", 5)
+    monkeypatch.setattr(manifests, "MAX_MANIFESTS", 3)
+    assert not r.routes()["truncated"] and not r.deps()["truncated"]
+    monkeypatch.setattr(routes, "MAX_ROUTES", 4)
+    monkeypatch.setattr(manifests, "MAX_MANIFESTS", 2)
+    assert r.routes()["truncated"] and r.routes()["routes"].count() == 4 and r.deps()["truncated"] and r.deps()["manifests"].count() == 2
+    assert schema.left_out(r.scanned, 2) == 1 and routes.left_out(r.scanned, 3) == 2
+
+
+def test_files_of_other_encodings_and_ignored_folders(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("# caf\xe9\ndef a():\n    pass\n".encode("latin-1"))
+    (tmp_path / "b [x].py").write_text("def b():\n    a()\n")
+    for hidden in ("node_modules", ".git", "deep/vendor"):
+        (tmp_path / hidden).mkdir(parents=True)
+        (tmp_path / hidden / "c.py").write_text("def c(): pass\n")
+    (tmp_path / "deep" / "d.py").write_text("x = 1\n")
+    found = {f.path: f.content for f in files_.walk(spark, str(tmp_path)).collect()}
+    assert set(found) == {"a.py", "b [x].py", "deep/d.py"} and "caf\ufffd" in found["a.py"]
+    assert len(files_.kept_folders(str(tmp_path))) == 2
+    assert files_.walk(spark, str(tmp_path / "deep" / "vendor")).count() == 1
+
+
+def test_files_that_break_their_tagger_are_named(spark):
+    r = repo(spark, {"ok.go": "func A() {}\n", "bad.py": "def broken(:\n"})
+    assert [e.file for e in r.graph.errors.collect()] == ["bad.py"] and "bad.py" in r._notes()
+
+
+def test_index_survives_a_failure_at_the_switch(spark, tmp_path, monkeypatch):
+    index = str(tmp_path / "index")
+    tags = lambda rows: taggers.tag(files_.from_rows(spark, rows))
+    names = lambda: {r["name"] for r in files_.load_index(spark, index).where("row = 'symbol'").collect()}
+    assert files_.load_index(spark, index) is None
+    for k in range(4):
+        files_.save_index(tags({"a.go": f"func A{k}() {{}}\n"}), index)
+        assert names() == {f"A{k}"}
+
+    def fails(fs, pointer):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(files_, "_point", fails)
+        with pytest.raises(OSError):
+            files_.save_index(tags({"a.go": "func Lost() {}\n"}), index)
+    assert names() == {"A3"}
+    files_.save_index(tags({"a.go": "func B() {}\n"}), index)
+    assert names() == {"B"}
+    import shutil
+
+    last = sorted(p.name for p in (tmp_path / "index").glob("v1.*.current"))[-1].split(".")[2]
+    shutil.rmtree(tmp_path / "index" / f"v1-{last}")
+    with pytest.raises(Exception, match="v1-"):
+        files_.load_index(spark, index)
+
+
 def test_schema(spark):
     ddl = 'CREATE TABLE IF NOT EXISTS users (id SERIAL PRIMARY KEY, email VARCHAR(255), balance DECIMAL(10,2), key_id INT);\nCREATE TABLE "orders" (id INT, user_id INT REFERENCES users(id), item_id INT, PRIMARY KEY (id), CONSTRAINT f FOREIGN KEY (item_id) REFERENCES items(id));'
     entities, columns, links = schema.entities(files_.from_rows(spark, {"migrations/001_init.sql": ddl, "z.sql": "create table users (other int);"}))
@@ -188,15 +277,15 @@ def test_manifests(spark):
 
 def test_stacks(spark):
     got = {s.path: s for s in stacks.stacks(files_.from_rows(spark, HCL | {"standalone/main.tf": 'terraform {\n  backend "gcs" {\n    key = "k"\n  }\n}\n', "cloud/a.tf": "terraform {\n  cloud {\n  }\n}\n"})).collect()}
-    app = got["environments/non-prod/pod0/ocp1"]
-    assert (app.source, app.source_local, app.includes, app.dependencies, app.backend, app.inputs) == ("modules/orchestrator", True, ["root.hcl"], ["environments/non-prod/pod0/vpc"], "s3", ["platform"])
+    app = got["live/north/shop"]
+    assert (app.source, app.source_local, app.includes, app.dependencies, app.backend, app.inputs) == ("parts/shop", True, ["root.hcl"], ["live/north/base"], "s3", ["tier"])
     assert got["standalone"].kind == "terraform-root" and (got["standalone"].backend, got["standalone"].state_key) == ("gcs", "k") and got["cloud"].backend == "cloud"
 
 
 def test_recon(spark):
     rows = {"go.mod": "", "main.go": "", "cmd/x_test.go": "", "Makefile": "", ".github/workflows/ci.yml": "", "src/lib.rs": "fn f() { x.unwrap(); }\n// y.unwrap()\nlet _ = 1;\n", "next.config.js": "", "modules/a/main.tf": ""}
     out = repo(spark, rows).recon()
-    assert out["stack"] == ["Go", "Terraform"] and out["frameworks"] == ["Next.js"] and out["entry_points"] == ["main.go", "src/lib.rs"] and out["test_layout"] == ["cmd"] and out["tooling"] == ["GitHub Actions", "Make"]
+    assert out["stack"] == ["Go", "Terraform (HCL)"] and out["manifests"] == ["go.mod"] and out["frameworks"] == ["Next.js"] and out["entry_points"] == ["main.go", "src/lib.rs"] and out["test_layout"] == ["cmd"] and out["tooling"] == ["GitHub Actions", "Make"]
     assert [tuple(r) for r in out["risk_hints"].collect()] == [("src/lib.rs", 1, "unwrap"), ("src/lib.rs", 3, "let _ =")]
     assert recon.top_extensions(files_.from_rows(spark, rows)).first().ext == ".go"
 
