@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, quality, token_counts
+from . import chat, contracts, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,7 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_license_scans": licenses.op9_license_scans,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+    **contracts.QUERIES,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op6_minhash_near_dedup": contracts.NEAR_SQL,
+    **contracts.ORACLES,
 }
