@@ -60,25 +60,6 @@ def closing(text: str, at: int, pair: str = "{}") -> int:
     return -1
 
 
-def body(text: str, at: int) -> str:
-    """Between the brace at this offset and the one that closes it; to the end if none does."""
-    end = closing(text, at)
-    return text[at + 1 : end if end >= 0 else len(text)]
-
-
-def top_level(text: str, separator: str = ",") -> list[str]:
-    """Parts at separators outside of round brackets, trimmed."""
-    parts, depth, start = [], 0, 0
-    for m in re.finditer(r"[()]|" + re.escape(separator), text):
-        if m[0] == separator:
-            if not depth:
-                parts.append(text[start : m.start()].strip())
-                start = m.end()
-        else:
-            depth += 1 if m[0] == "(" else -1
-    return [*parts, text[start:].strip()]
-
-
 def folder(path: str) -> str:
     return path.rpartition("/")[0]
 
