@@ -11,7 +11,9 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..functions.storage import materialised
 from ..operators import changes, graph, history, ranking, resolve
+from ..sources import recon
 from . import relations as R
+from . import tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -432,7 +434,8 @@ def next_definition(spark, d):
 
 @query("a12_hunk_counts", "SELECT path, count(*)::BIGINT AS hunks FROM hunks GROUP BY path", False, R.DEFINITIONS, R.HUNKS)
 def hunk_counts(spark, d):
-    return R.hunks(R.definitions(spark, d)).groupBy("path").agg(F.count("*").alias("hunks"))
+    found = R.hunks(R.definitions(spark, d))
+    return tools.listed_changes(found.select("path", F.lit("M").alias("status")).distinct(), found).select("path", "hunks")
 
 
 _LAYERS = """layers AS (SELECT DISTINCT src, dst FROM supply_edges WHERE src[1] IN ('p', 's', 'n')),
@@ -560,8 +563,7 @@ def template_refs(spark, d):
     """SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS ext FROM pages) GROUP BY ext ORDER BY n DESC, ext LIMIT 3""",
 )
 def extensions(spark, d):
-    rows = R.read(spark, d, "pages").groupBy(S.extension(F.col("url")).alias("ext")).agg(F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "ext").limit(3)
+    return recon.top_extensions(R.read(spark, d, "pages").select(F.col("url").alias("path")))
 
 
 @query("f4_node_ids", "SELECT part.p_partkey, regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_]', '_', 'g') AS id FROM part")
@@ -606,7 +608,7 @@ def clamped_depth(spark, d):
     R.EVENT_SYMBOLS,
 )
 def graph_stats(spark, d):
-    return R.event_symbols(spark, d).agg(F.countDistinct("file").alias("files"), F.count("*").alias("definitions"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return tools.symbol_totals(R.event_symbols(spark, d), "kind").select("files", "definitions", F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("t15_precise_candidates", """, calls AS (SELECT dst AS q, count(DISTINCT src) AS c FROM event_edges GROUP BY dst)

@@ -64,6 +64,17 @@ def _unread(files: DataFrame, parse) -> str:
     return f"Not readable: {broken}." if broken else ""
 
 
+def symbol_totals(symbols: DataFrame, by: str) -> DataFrame:
+    """One row: files, the values of a column (named in the plural), definitions."""
+    return symbols.agg(F.countDistinct("file").alias("files"), F.array_sort(F.collect_set(by)).alias(by + "s"), F.count("*").alias("definitions"))
+
+
+def listed_changes(changed_files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(path, status, hunks) of the files of a diff."""
+    per_file = hunks.groupBy("path").agg(F.count("*").alias("hunks"))
+    return changed_files.join(per_file, "path", "left").select("path", "status", F.coalesce("hunks", F.lit(0)).alias("hunks"))
+
+
 class Repository:
     def __init__(self, spark: SparkSession, root: str | None = None, files: DataFrame | None = None, allowed: list[str] | None = None, commits: DataFrame | None = None, numstat: DataFrame | None = None, precise: DataFrame | None = None) -> None:
         self.spark, self.precise = spark, precise
@@ -89,7 +100,7 @@ class Repository:
     def stats(self) -> dict:
         """Files read, their languages, definitions, edges, and references that no symbol answers."""
         g = self.graph
-        row = g.symbols.agg(F.countDistinct("file").alias("files"), F.array_sort(F.collect_set("lang")).alias("langs"), F.count("*").alias("definitions")).first()
+        row = symbol_totals(g.symbols, "lang").first()
         unresolved = resolve.unresolved_count(g.resolved).first()["unresolved"] if g.resolved is not None else 0
         return row.asDict() | {"edges": g.edges.count(), "unresolved": unresolved}
 
@@ -188,8 +199,7 @@ class Repository:
             base = base or gitlog.default_base(self.root)
             diff = gitlog.diff_lines(self.spark, self.root, base)
         changed_files, hunks = (x.persist() for x in gitlog.parse_diff(diff))
-        per_file = hunks.groupBy("path").agg(F.count("*").alias("hunks"))
-        listed = changed_files.join(per_file, "path", "left").select("path", "status", F.coalesce("hunks", F.lit(0)).alias("hunks")).orderBy("path")
+        listed = listed_changes(changed_files, hunks).orderBy("path")
         if changed_files.isEmpty():
             return {"base": base, "changed_files": listed, "changed_symbols": None, "impacted_count": 0, "truncated": False, "note": "no changes"}
         g = self.graph

@@ -84,10 +84,14 @@ def _escaped(path: str) -> str:
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
 
 
+def from_table(rows: DataFrame) -> DataFrame:
+    """The same relation from rows(path, content), texts."""
+    return rows.select("path", language(F.col("path")).alias("lang"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"), "content")
+
+
 def from_rows(spark: SparkSession, rows: dict[str, str]) -> DataFrame:
     """The same relation from path: content."""
-    df = spark.createDataFrame(list(rows.items()), "path string, content string")
-    return df.select("path", language(F.col("path")).alias("lang"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"), "content")
+    return from_table(spark.createDataFrame(list(rows.items()), "path string, content string"))
 
 
 def indexable(files: DataFrame) -> DataFrame:

@@ -63,10 +63,30 @@ class FileTags:
         out: list[tuple] = []
         for n, d in enumerate(self.definitions):
             out.append(("symbol", self.path, d.qname, d.name, d.kind, line_of(d.start), column(d.start), lang, d.recv, d.test, d.public, None, None, None, None, None, None, n))
-        by_size = sorted(self.definitions, key=lambda d: d.end - d.start)
+        holders = self._holders()
         for n, r in enumerate(self.references):
-            holder = next((d.qname for d in by_size if d.start <= r.start and r.end <= d.end), f"{self.path}::(top-level)")
+            holder = holders.get(n, f"{self.path}::(top-level)")
             out.append(("ref", self.path, r.caller or holder, None, None, line_of(r.start), None, lang, None, None, None, r.name, r.recv, r.bare, None, None, None, n))
         for n, i in enumerate(self.imports):
             out.append(("import", self.path, None, None, None, None, None, lang, None, None, None, None, None, None, i.alias, i.target_name, i.candidates, n))
         return out
+
+    def _holders(self) -> dict[int, str]:
+        """Place of each reference within a definition: the qname of the smallest around it, the first listed of equals.
+
+        One sweep over the text: definitions that have begun and not ended stay open, as many as nest.
+        """
+        begin = sorted(range(len(self.definitions)), key=lambda k: self.definitions[k].start)
+        open_: list[int] = []
+        out, at = {}, 0
+        for n in sorted(range(len(self.references)), key=lambda n: self.references[n].start):
+            r = self.references[n]
+            while at < len(begin) and self.definitions[begin[at]].start <= r.start:
+                open_.append(begin[at])
+                at += 1
+            open_ = [k for k in open_ if self.definitions[k].end >= r.start]
+            around = [k for k in open_ if self.definitions[k].end >= r.end]
+            if around:
+                best = min(around, key=lambda k: (self.definitions[k].end - self.definitions[k].start, k))
+                out[n] = self.definitions[best].qname
+        return out
