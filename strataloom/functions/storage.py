@@ -21,11 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context._strataloom_rounds
 
 
+def _filesystem(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and reread: cuts lineage, survives lost executors, goes with the session."""
+    """df written as Parquet to the shared folder and reread: cuts lineage, survives lost executors, goes with the session or by discard()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataloom-rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop_path = _filesystem(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strataloom_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what materialised() wrote, once nothing reads it any more; other tables are left alone."""
+    path = getattr(df, "_strataloom_path", None)
+    if path:
+        fs, hadoop_path = _filesystem(df.sparkSession, path)
+        fs.delete(hadoop_path, True)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialised
+from ..functions.storage import discard, materialised
 
 DAMPING, ROUNDS = 0.85, 50
+#: Edges and nodes together up to which PageRank runs in one task.
+ONE_TASK = 200_000
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -99,47 +105,85 @@ def expand_seeds(symbols: DataFrame, seeds: DataFrame) -> DataFrame:
     return symbols.join(s, (symbols["qname"] == s["seed"]) | (symbols["file"] == s["seed"]) | (symbols["name"] == s["seed"]), "left_semi").select("qname").distinct()
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, one_task: int = ONE_TASK) -> DataFrame:
     """(qname, rank) after rounds from a uniform start; ranks sum to 1.
 
     seeds(qname): the nodes that teleport leads to, evenly; all nodes if none is given or none is
-    known. The mass of nodes without outgoing edges follows the teleport vector. One join and one sum a
+    known. The mass of nodes without outgoing edges follows the teleport vector.
+
+    A graph of up to one_task edges and nodes, counted first, takes all rounds in one task, by numpy: at
+    that size a round of joins is nothing but planning. A larger one takes one join and one sum a
     round, no join with the node table: every edge carries 1 / out-degree, and each node one row of 0 to
-    itself so that it stays; every few rounds the ranks are materialised.
+    itself so that it stays. Links and sums are both partitioned by node, so a round has one exchange;
+    every few rounds the ranks are materialised and those before deleted, so the disk holds two of
+    them at most.
     """
     edges = materialised(edges.select("src", "dst"))
     nodes = materialised(node_set(edges) if nodes is None else nodes.select("qname").union(node_set(edges)).distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     targets = nodes.join(seeds.select("qname").distinct(), "qname", "left_semi") if seeds is not None else nodes
     t = targets.count()
     if not t:
         targets, t = nodes, n
     jump = nodes.join(targets.select("qname", F.lit(1.0 / t).alias("jump")), "qname", "left").select("qname", F.coalesce("jump", F.lit(0.0)).alias("jump"))
+    if n + edges.limit(one_task + 1).count() <= one_task:
+        rows = jump.select("qname", F.lit(None).cast("string").alias("dst"), "jump").union(edges.select("src", "dst", F.lit(0.0)))
+        return materialised(rows.coalesce(1).mapInArrow(_ranks_of(rounds, damping), "qname string, rank double"))
+    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     state = jump.join(out.select(F.col("src").alias("qname"), "degree"), "qname", "left").select("qname", "jump", F.col("degree").isNull().alias("dangling"))
     state = materialised(state)
     links = edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share"), F.lit(None).cast("double").alias("jump"), F.lit(False).alias("dangling"))
     own = state.select(F.col("qname").alias("src"), F.col("qname").alias("dst"), F.lit(0.0).alias("share"), "jump", "dangling")
     links = materialised(links.unionByName(own)).repartition("src").persist()
     ranks = state.select("qname", F.lit(1.0 / n).alias("rank"), "dangling", "jump")
-    loose = not state.where("dangling").isEmpty()
+    loose, last = not state.where("dangling").isEmpty(), None
     for k in range(1, rounds + 1):
         lost = F.lit(0.0)
         if loose:  # the sum comes with the write that cuts the lineage
             seen = Observation()
-            ranks = materialised(ranks.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost")))
-            lost = F.lit(float(seen.get["lost"] or 0.0))
+            last, before = materialised(ranks.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))), last
+            discard(before)
+            ranks, lost = last, F.lit(float(seen.get["lost"] or 0.0))
         elif k % every == 0:
-            ranks = materialised(ranks)
+            last, before = materialised(ranks), last
+            discard(before)
+            ranks = last
         moved = links.join(ranks.select(F.col("qname").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"), F.max("jump").alias("jump"), F.max("dangling").alias("dangling"))
         ranks = moved.select(F.col("dst").alias("qname"), ((1 - damping) * F.col("jump") + damping * (F.col("in") + lost * F.col("jump"))).alias("rank"), "dangling", "jump")
     ranks = materialised(ranks.select("qname", "rank"))
     links.unpersist()
+    for done in (last, state):
+        discard(done)
     return ranks
 
 
+def _ranks_of(rounds: int, damping: float):
+    """All rounds over rows (qname, null, jump) of nodes and (src, dst, 0) of edges, both distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).to_pandas()
+        is_node = rows["dst"].isna().to_numpy()
+        names = np.sort(rows["qname"].to_numpy()[is_node])
+        place = {q: k for k, q in enumerate(names)}
+        jump = np.zeros(len(names))
+        jump[[place[q] for q in rows["qname"][is_node]]] = rows["jump"][is_node]
+        ends = rows[~is_node]
+        src, dst = (np.array([place[q] for q in ends[c]], np.int64) for c in ("qname", "dst"))
+        order = np.lexsort((src, dst))  # sums go in one order, whatever that of the rows
+        src, dst = src[order], dst[order]
+        degree = np.bincount(src, minlength=len(names))
+        share = 1.0 / degree[src]
+        rank = np.full(len(names), 1.0 / len(names))
+        for _ in range(rounds):
+            moved = np.bincount(dst, weights=rank[src] * share, minlength=len(names))
+            rank = (1 - damping) * jump + damping * (moved + rank[degree == 0].sum() * jump)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rank)], ["qname", "rank"])
+
+    return run
+
+
 def callees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("qname")).agg(F.array_sort(F.collect_set("dst")).alias("callees"))
 

@@ -560,7 +560,7 @@ def template_refs(spark, d):
 
 @query(
     "a9_extensions",
-    """SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS ext FROM pages) GROUP BY ext ORDER BY n DESC, ext LIMIT 3""",
+    """SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS ext FROM pages) WHERE ext <> '' GROUP BY ext ORDER BY n DESC, ext LIMIT 3""",
 )
 def extensions(spark, d):
     return recon.top_extensions(R.read(spark, d, "pages").select(F.col("url").alias("path")))

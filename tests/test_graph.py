@@ -33,6 +33,17 @@ def test_pagerank_order_mass_and_focus(spark):
     assert sum(focused.values()) == pytest.approx(1)
 
 
+def test_pagerank_in_one_task_and_by_joins(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(90)} | {("n1", "sink"), ("n2", "sink")})
+    for rows in (pairs, [(a, b) for a, b in pairs if b != "sink"] + [(f"n{k}", f"n{(k + 1) % 40}") for k in range(40)]):
+        e = spark.createDataFrame(sorted({(a, b) for a, b in rows if a != b}), "src string, dst string")
+        for seeds in (None, spark.createDataFrame([("n3",), ("n4",)], "qname string")):
+            one = {r.qname: r["rank"] for r in graph.pagerank(e, seeds=seeds, rounds=7).collect()}
+            many = {r.qname: r["rank"] for r in graph.pagerank(e, seeds=seeds, rounds=7, every=3, one_task=0).collect()}
+            assert one == pytest.approx(many) and sum(one.values()) == pytest.approx(1)
+
+
 def test_pagerank_empty_and_unknown_seed(spark):
     none = edges_of(spark, [])
     assert graph.pagerank(none).count() == 0
