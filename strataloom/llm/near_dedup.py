@@ -18,9 +18,10 @@ from .shingles import distinct, mix, set_digests, shingled
 #: pair meets with (1 - (1 - s**K)**M)**2: 0.99998 at 0.85, 0.9986 at 0.8, 2e-6 at 0.2.
 M, K = 24, 6
 #: Shingles and sets that a cell of the exact comparison holds of each of its two parts, about.
-CELL_SHINGLES, CELL_ROWS = 1_000_000, 256
-#: Pairs a row of open buckets beyond which stars are compared once more before all pairs are; and such turns at most.
-OPEN_PAIRS, TURNS = 64, 4
+CELL_SHINGLES, CELL_ROWS = 1_000_000, 512
+#: Pairs a row of open buckets beyond which stars are compared once more before all pairs are, as long as a turn closes
+#: a tenth of the rows; and such turns at most.
+OPEN_PAIRS, STALLED, TURNS = 64, 0.9, 4
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, 2 * M * K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,9 +187,17 @@ def _star_cells(members: DataFrame, turn: int, rows: int, shingles: int) -> Data
 
 
 def _pair_cells(members: DataFrame, rows: int, shingles: int) -> DataFrame:
-    """Cells of all pairs of parts of each bucket of members(key, node, n, label)."""
-    size = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("key", _parts(rows, shingles).alias("parts"))
-    placed = members.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    """Cells of all pairs of parts of each group of sets that buckets of members(key, node, n, label) hold together.
+
+    Near copies of one text share hundreds of buckets of ever other members; as one group each pair of
+    them meets once.
+    """
+    least = members.groupBy("key").agg(F.min("node").alias("v"))
+    groups = components(members.join(least, "key").select(F.col("node").alias("u"), "v"))
+    nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    grouped = written(nodes.join(groups.select("node", F.col("label").alias("key")), "node"), "groups")
+    size = grouped.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("key", _parts(rows, shingles).alias("parts"))
+    placed = grouped.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     return other.select("key", low.alias("i"), high.alias("j"), "node", F.when(low == F.col("part"), 0).otherwise(1).alias("side"), "label")
@@ -229,15 +238,18 @@ def classes(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL
     texts = asked.hint("merge").join(rows, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")))
     bodies = written(texts.select("node", "text").mapInArrow(_bodies, "node long, n long, body binary"), "bodies")
 
-    members, links, labels = buckets.withColumn("label", F.col("node")), None, None
+    members, links, labels, before = buckets.withColumn("label", F.col("node")), None, None, None
     for turn in range(TURNS + 1):
         if turn == 0:
+            before = members.count()
             cells = _star_cells(members, 0, cell_rows, cell_shingles)
         else:
             sizes = members.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
             if not sizes["rows"]:
                 break
-            last = turn == TURNS or not gained or sizes["pairs"] <= open_pairs * sizes["rows"]
+            stalled = before is not None and sizes["rows"] > STALLED * before
+            last = turn == TURNS or stalled or sizes["pairs"] <= open_pairs * sizes["rows"]
+            before = sizes["rows"]
             cells = _pair_cells(members, cell_rows, cell_shingles) if last else _star_cells(members, turn, cell_rows, cell_shingles)
         found = _compared(cells, bodies, threshold)
         gained = not found.isEmpty()
@@ -277,9 +289,10 @@ def near_duplicates(documents: DataFrame, threshold: int = 85, **cells) -> DataF
     3. Along stars: each node is compared on full sets with one centre among its buckets'. Links join
        labels; a bucket that has one label is done. This settles exact originals with their copies at
        one comparison a node, however many there are.
-    4. In buckets that still have several labels all pairs of different labels are compared, in cells of
-       at most cell_rows sets and cell_shingles shingles a side, so a bucket larger than a cell meets in
-       many tasks; where that is much (over open_pairs a row), other stars go first.
+    4. Of the sets that buckets of several labels still hold together all pairs of different labels are
+       compared, in cells of at most cell_rows sets and cell_shingles shingles a side, so a group larger
+       than a cell meets in many tasks; where that is much (over open_pairs a row), other stars go first
+       as long as they close buckets.
     5. Components of the links.
 
     Null text is empty. A text without words: n_shingles 0, linked with nothing. Very long texts are one
