@@ -286,6 +286,14 @@ def test_mixing(spark):
     assert mixing.mixture(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
 
+def test_mixed_keeps_columns_and_agrees_with_itself(spark):
+    rows = [(k % 4, "w x y z " * (k % 3 + 1), f"s{k % 2}") for k in range(24)]
+    df = docs_of(spark, rows).withColumn("lang", F.monotonically_increasing_id().cast("string")).withColumn("size", F.lit("own"))
+    mix = mixing.mixed(df)
+    assert mix.columns == [*df.columns, "size_", "target", "copies", "taken"] and {r["size"] for r in mix.collect()} == {"own"}
+    assert sorted(mix.collect()) == sorted(mixing.mixed(df.repartition(5)).collect())
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 900, 300)
