@@ -227,21 +227,22 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_rows
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The documents that the mix takes, all their columns, with size, target, copies (how often) and taken.
 
-    Where documents have a column of such a name, theirs stays and the mix's gets underscores behind.
-    Rows equal in id, source and text are told apart by a hash of all columns, so reruns agree. Null
-    text is never taken; null source is a source; empty table: no rows.
+    Columns of documents that bear one of these four names are replaced. Rows equal in id, source and
+    text are told apart by a hash of all columns, so reruns agree. Null text is never taken; null source
+    is a source; empty table: no rows.
     """
     made = {c: fresh_name(documents, c) for c in ("mix_h", "mix_r", "mix_id", "mix_h2", "mix_r2")}
-    own = {c: fresh_name(documents, c) for c in ("size", "target", "copies", "taken")}
+    own = ["size", "target", "copies", "taken"]
+    documents = documents.drop(*own)
     mix = written(mixture(documents, weights), "mixture").where("r > 1 OR copies > 0")
-    mix = mix.select(F.col("doc_id").alias(made["mix_id"]), F.col("h").alias(made["mix_h2"]), F.col("r").alias(made["mix_r2"]), *(F.col(c).alias(name) for c, name in own.items()))
+    mix = mix.select(F.col("doc_id").alias(made["mix_id"]), F.col("h").alias(made["mix_h2"]), F.col("r").alias(made["mix_r2"]), *own)
     keyed = documents.withColumn(made["mix_h"], F.xxhash64(F.col("doc_id").cast("long"), "source", "text"))
     same = keyed["doc_id"].cast("long").eqNullSafe(mix[made["mix_id"]]) & (keyed[made["mix_h"]] == mix[made["mix_h2"]])
     if not mix.where(F.col(made["mix_r2"]) > 1).isEmpty():  # rows that repeat are numbered; else texts move once
         alike = Window.partitionBy("doc_id", made["mix_h"]).orderBy(F.xxhash64(*documents.columns))
         keyed = keyed.withColumn(made["mix_r"], F.row_number().over(alike).cast("long"))
         same = same & (F.col(made["mix_r"]) == F.col(made["mix_r2"]))
-    return keyed.join(mix, same).where(F.col(own["copies"]) > 0).select(*documents.columns, *own.values())
+    return keyed.join(mix, same).where("copies > 0").select(*documents.columns, *own)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
