@@ -48,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, target, copies and taken (underscores behind where a name is taken).
+    """Documents that the mix takes, with size, target, copies and taken, which replace columns of these names.
 
     Null or empty text is never taken; null source is a source; repeated rows are drawn each for itself,
     and reruns agree. Empty table: empty.
