@@ -19,9 +19,6 @@ from .shingles import distinct, mix, set_digests, shingled
 M, K = 24, 6
 #: Shingles and sets that a cell of the exact comparison holds of each of its two parts, about.
 CELL_SHINGLES, CELL_ROWS = 1_000_000, 512
-#: Pairs a row of open buckets beyond which stars are compared once more before all pairs are, as long as a turn closes
-#: a tenth of the rows; and such turns at most.
-OPEN_PAIRS, STALLED, TURNS = 64, 0.9, 4
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, 2 * M * K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,48 +156,56 @@ def _compared(cells: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
     return written(full.repartition(tasks, *_CELL).sortWithinPartitions(*_CELL, "node").mapInArrow(_cells(threshold), "u long, v long"), "links")
 
 
-def _parts(rows: int, shingles: int):
-    """How many parts a group of m sets with total shingles makes."""
-    return F.greatest(F.ceil(F.col("m") / F.lit(rows)), F.ceil(F.col("total") / F.lit(shingles))).cast("int")
+def _parts(m: str, total: str, rows: int, shingles: int):
+    """How many parts m sets with total shingles make."""
+    return F.greatest(F.ceil(F.col(m) / F.lit(rows)), F.ceil(F.col(total) / F.lit(shingles))).cast("int")
 
 
-def _star_cells(members: DataFrame, turn: int, rows: int, shingles: int) -> DataFrame:
-    """Cells of one centre and a part of the sets that choose it, from members(key, node, n, w, label).
+def _star_cells(buckets: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """Cells of one centre and a part of the sets that choose it, from buckets(key, node, n, w).
 
     A bucket's centre is the set that meets most others in all buckets, as an original meets its copies
-    oftener than they meet each other; in later turns one by hash. Each set chooses one centre among its
-    buckets', the greatest, of another label: one comparison a set.
+    oftener than they meet each other. Each set chooses the greatest of its buckets' centres: one
+    comparison a set, none for a set that is the greatest itself.
     """
-    by_node = members.groupBy("node").agg(F.sum("w").alias("met"))
-    met = F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    ranked = members.join(by_node.select("node", met.alias("met")), "node")
-    rank = F.struct("met", (-F.col("node")).alias("minus"), F.col("label").alias("of"))
-    centres = ranked.groupBy("key").agg(F.max(rank).alias("centre"))
-    chosen = ranked.join(centres, "key").where(F.col("centre.of") != F.col("label"))
-    chosen = chosen.groupBy("node").agg(F.max("centre").alias("centre"), F.first("n").alias("n"), F.first("label").alias("label"))
-    edges = written(chosen.select("node", "n", "label", (-F.col("centre.minus")).alias("centre"), F.col("centre.of").alias("of")), "stars")
-    size = edges.groupBy("centre", "of").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("centre", "of", _parts(rows, shingles).alias("parts"))
+    met = buckets.groupBy("node").agg(F.sum("w").alias("met"))
+    ranked = buckets.join(met, "node").withColumn("rank", F.struct("met", (-F.col("node")).alias("minus")))
+    centres = ranked.groupBy("key").agg(F.max("rank").alias("centre"))
+    chosen = ranked.join(centres, "key").groupBy("node").agg(F.max("centre").alias("centre"), F.first("n").alias("n"))
+    edges = written(chosen.select("node", "n", (-F.col("centre.minus")).alias("centre")).where("node <> centre"), "stars")
+    size = edges.groupBy("centre").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("centre", _parts("m", "total", rows, shingles).alias("parts"))
     part = F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts")).cast("int")
-    own = edges.join(size.select("centre", "parts"), "centre").select(F.col("centre").alias("key"), part.alias("i"), F.lit(0).alias("j"), "node", F.lit(1).alias("side"), "label")
-    mid = size.select(F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.col("centre").alias("node"), F.lit(0).alias("side"), F.col("of").alias("label"))
+    own = edges.join(size, "centre").select(F.col("centre").alias("key"), part.alias("i"), F.lit(0).alias("j"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
+    mid = size.select(F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.col("centre").alias("node"), F.lit(0).alias("side"), F.col("centre").alias("label"))
     return own.unionByName(mid)
 
 
-def _pair_cells(members: DataFrame, rows: int, shingles: int) -> DataFrame:
-    """Cells of all pairs of parts of each group of sets that buckets of members(key, node, n, label) hold together.
+def _groups(buckets: DataFrame) -> DataFrame:
+    """(node, key): the sets that buckets hold together, directly or by others, share a key."""
+    least = buckets.groupBy("key").agg(F.min("node").alias("v"))
+    return components(buckets.join(least, "key").select(F.col("node").alias("u"), "v")).select("node", F.col("label").alias("key"))
 
-    Near copies of one text share hundreds of buckets of ever other members; as one group each pair of
-    them meets once.
+
+def _pair_cells(nodes: DataFrame, groups: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """Cells in which all pairs of different labels of each group meet, from nodes(node, n, label) and groups(node, key).
+
+    A group of one label is done. In another the sets of its most frequent label, which are not compared
+    with each other, meet the other sets part by part, and those each other: a large cluster with a few
+    sets beside it costs little more than its own size.
     """
-    least = members.groupBy("key").agg(F.min("node").alias("v"))
-    groups = components(members.join(least, "key").select(F.col("node").alias("u"), "v"))
-    nodes = members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
-    grouped = written(nodes.join(groups.select("node", F.col("label").alias("key")), "node"), "groups")
-    size = grouped.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("key", _parts(rows, shingles).alias("parts"))
-    placed = grouped.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    of = nodes.join(groups, "node")
+    labels = of.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    most = labels.groupBy("key").agg(F.max_by(F.struct("label", "m", "total"), F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum("total").alias("total")).where("labels > 1")
+    size = most.select("key", F.col("top.label").alias("main"), _parts("top.m", "top.total", rows, shingles).alias("p"), F.greatest(F.ceil((F.col("m") - F.col("top.m")) / rows), F.ceil((F.col("total") - F.col("top.total")) / shingles)).cast("int").alias("q"))
+    grouped = written(of.join(size, "key").withColumn("big", F.col("label") == F.col("main")), "groups")
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("big"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    grouped = grouped.withColumn("part", part)
+    across = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("big"), F.col("q")).otherwise(F.col("p")) - 1)))
+    across = across.select("key", F.when(F.col("big"), F.col("part")).otherwise(F.col("other")).alias("i"), F.when(F.col("big"), F.col("other")).otherwise(F.col("part")).alias("j"), "node", F.when(F.col("big"), 0).otherwise(1).alias("side"), "label")
+    others = grouped.where("NOT big").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    return other.select("key", low.alias("i"), high.alias("j"), "node", F.when(low == F.col("part"), 0).otherwise(1).alias("side"), "label")
+    others = others.select("key", (-1 - low).alias("i"), high.alias("j"), "node", F.when(low == F.col("part"), 0).otherwise(1).alias("side"), "label")
+    return across.unionByName(others)
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def _text_keys() -> list:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2")]
 
 
-def classes(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL_SHINGLES, cell_rows: int = CELL_ROWS, open_pairs: int = OPEN_PAIRS) -> DataFrame:
+def classes(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL_SHINGLES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per row: doc_id, t1, t2 (of its text), n_shingles, class (null without words) and component_id. See near_duplicates."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), F.col("text").alias("text"))
     sketch = written(rows.mapInArrow(_sketch, _SKETCH), "sketch")
@@ -238,39 +243,18 @@ def classes(documents: DataFrame, threshold: int = 85, cell_shingles: int = CELL
     texts = asked.hint("merge").join(rows, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")))
     bodies = written(texts.select("node", "text").mapInArrow(_bodies, "node long, n long, body binary"), "bodies")
 
-    members, links, labels, before = buckets.withColumn("label", F.col("node")), None, None, None
-    for turn in range(TURNS + 1):
-        if turn == 0:
-            before = members.count()
-            cells = _star_cells(members, 0, cell_rows, cell_shingles)
-        else:
-            sizes = members.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs")).first()
-            if not sizes["rows"]:
-                break
-            stalled = before is not None and sizes["rows"] > STALLED * before
-            last = turn == TURNS or stalled or sizes["pairs"] <= open_pairs * sizes["rows"]
-            before = sizes["rows"]
-            cells = _pair_cells(members, cell_rows, cell_shingles) if last else _star_cells(members, turn, cell_rows, cell_shingles)
-        found = _compared(cells, bodies, threshold)
-        gained = not found.isEmpty()
-        if gained:
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if turn and last:
-            break
-        if gained:  # a bucket within one label is done
-            named = members.drop("label").join(labels.select("node", F.col("label").alias("to")), "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
-            members = written(named, "members")
-        mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        members = written(members.join(mixed, "key", "left_semi"), "open")
+    candidates = buckets.groupBy("node").agg(F.first("n").alias("n"))
+    links = _compared(_star_cells(buckets, cell_rows, cell_shingles), bodies, threshold)
+    labels = components(links)
+    known = written(candidates.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")), "labels")
+    more = _compared(_pair_cells(known, _groups(buckets), cell_rows, cell_shingles), bodies, threshold)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     nodes = sets.select("d", "id", "node")
-    if labels is None:
-        of_set = nodes.select("d", F.col("node").alias("class"), F.col("id").alias("component_id"))
-    else:
-        placed = nodes.join(labels, "node", "left").select("d", "id", F.coalesce("label", "node").alias("class"))
-        least = placed.groupBy("class").agg(F.min("id").alias("component_id"))
-        of_set = placed.join(least, "class").select("d", "class", "component_id")
+    placed = nodes.join(labels, "node", "left").select("d", "id", F.coalesce("label", "node").alias("class"))
+    least = placed.groupBy("class").agg(F.min("id").alias("component_id"))
+    of_set = placed.join(least, "class").select("d", "class", "component_id")
     empty = F.col("n_shingles") == 0
     out = sketch.select("doc_id", "t1", "t2", "n_shingles", "d").join(of_set, "d", "left")
     return out.select("doc_id", "t1", "t2", "n_shingles", F.when(~empty, F.col("class")).alias("class"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -286,13 +270,11 @@ def near_duplicates(documents: DataFrame, threshold: int = 85, **cells) -> DataF
     1. Sketch each text; equal sets collapse to one node.
     2. Nodes that share a sub-key of the first collection take the table keys (pairs of sub-keys). Of
        the buckets of a table key those with the same members collapse too.
-    3. Along stars: each node is compared on full sets with one centre among its buckets'. Links join
-       labels; a bucket that has one label is done. This settles exact originals with their copies at
-       one comparison a node, however many there are.
-    4. Of the sets that buckets of several labels still hold together all pairs of different labels are
+    3. Along stars: each node is compared on full sets with one centre among its buckets'. This settles
+       an original with its copies at one comparison a node, however many there are; links join labels.
+    4. Of the nodes that buckets hold together, directly or by others, all pairs of different labels are
        compared, in cells of at most cell_rows sets and cell_shingles shingles a side, so a group larger
-       than a cell meets in many tasks; where that is much (over open_pairs a row), other stars go first
-       as long as they close buckets.
+       than a cell meets in many tasks. A group of one label is done.
     5. Components of the links.
 
     Null text is empty. A text without words: n_shingles 0, linked with nothing. Very long texts are one
