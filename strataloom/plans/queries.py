@@ -109,17 +109,8 @@ def pagerank_focus(spark, d):
     return graph.pagerank(R.event_edges(spark, d), seeds=focus).select("qname", F.round("rank", 6).alias("rank"))
 
 
-_CORE = "core_edges AS (SELECT * FROM supply_edges WHERE src[1] IN ('p', 's', 'n'))"
-
-
-@query("g1_pagerank_dangling", _pagerank_sql("core_edges", "1.0 / (SELECT n FROM total)").replace("round(r, 6)", "round(r, 8)"), True, R.SUPPLY_EDGES, _CORE)
+@query("g1_pagerank_dangling", _pagerank_sql("supply_edges", "1.0 / (SELECT n FROM total)").replace("round(r, 6)", "round(r, 8)"), True, R.SUPPLY_EDGES)
 def pagerank_dangling(spark, d):
-    edges = R.supply_edges(spark, d, "psn")
-    return graph.pagerank(edges).select("qname", F.round("rank", 8).alias("rank"))
-
-
-@query("g1_pagerank_dangling_whole", _pagerank_sql("supply_edges", "1.0 / (SELECT n FROM total)").replace("round(r, 6)", "round(r, 8)"), True, R.SUPPLY_EDGES)
-def pagerank_dangling_whole(spark, d):
     return graph.pagerank(R.supply_edges(spark, d)).select("qname", F.round("rank", 8).alias("rank"))
 
 
@@ -268,21 +259,11 @@ def innermost(spark, d):
 
 @query("a1_history", "SELECT * FROM history", False, R.COMMITS, R.HISTORY)
 def file_history(spark, d):
-    return history.file_history(*R.commit_tables(spark, d))
+    return history.file_history(*R.commit_tables(spark, d), max_commits=-1)
 
 
 @query("t5_history_top", "SELECT * FROM history ORDER BY commits DESC, path LIMIT 20", False, R.COMMITS, R.HISTORY)
 def history_top(spark, d):
-    return history.top_history(history.file_history(*R.commit_tables(spark, d)))
-
-
-@query("a1_history_all", "SELECT * FROM history", False, R.COMMITS, R.HISTORY_ALL)
-def file_history_all(spark, d):
-    return history.file_history(*R.commit_tables(spark, d), max_commits=-1)
-
-
-@query("t5_history_top_all", "SELECT * FROM history ORDER BY commits DESC, path LIMIT 20", False, R.COMMITS, R.HISTORY_ALL)
-def history_top_all(spark, d):
     return history.top_history(history.file_history(*R.commit_tables(spark, d), max_commits=-1))
 
 
@@ -438,20 +419,14 @@ def hunk_counts(spark, d):
     return tools.listed_changes(found.select("path", F.lit("M").alias("status")).distinct(), found).select("path", "hunks")
 
 
-_LAYERS = """layers AS (SELECT DISTINCT src, dst FROM supply_edges WHERE src[1] IN ('p', 's', 'n')),
-layer_symbols AS (SELECT q AS qname, CASE WHEN q[1] = 'p' THEN 'parts/f' || (substr(q, 2)::BIGINT % 7) WHEN q[1] = 's' THEN 'suppliers/f' || (substr(q, 2)::BIGINT % 5) ELSE 'places/f' || q[1] END || '.go' AS file,
-  substr(q, 2)::INTEGER AS line FROM (SELECT src AS q FROM layers UNION SELECT dst FROM layers))"""
-
-
-#: The same over all of supply_edges.
-_ALL_LAYERS = """layers AS (SELECT DISTINCT src, dst FROM supply_edges),
+_LAYERS = """layers AS (SELECT DISTINCT src, dst FROM supply_edges),
 layer_symbols AS (SELECT q AS qname, CASE q[1] WHEN 'c' THEN 'customers/f' || (substr(q, 2)::BIGINT % 3) WHEN 'o' THEN 'orders/f' || (substr(q, 2)::BIGINT % 11)
     WHEN 'p' THEN 'parts/f' || (substr(q, 2)::BIGINT % 7) WHEN 's' THEN 'suppliers/f' || (substr(q, 2)::BIGINT % 5) ELSE 'places/f' || q[1] END || '.go' AS file,
   substr(q, 2)::INTEGER AS line FROM (SELECT src AS q FROM layers UNION SELECT dst FROM layers))"""
 
 
-def _layers(spark, d, layers="psn"):
-    edges = materialised(R.supply_edges(spark, d, layers))
+def _layers(spark, d):
+    edges = materialised(R.supply_edges(spark, d))
     q = graph.node_set(edges)
     first, number = F.substring("qname", 1, 1), F.expr("cast(substring(qname, 2) as bigint)")
     folder = F.when(first == "c", F.concat(F.lit("customers/f"), (number % 3).cast("string"))).when(first == "o", F.concat(F.lit("orders/f"), (number % 11).cast("string")))
@@ -474,43 +449,20 @@ def _changed(spark, edges, symbols):
     return rows.select("qname", "file", "line", "impacted_count", "direct_callers").orderBy(F.desc("impacted_count"), "file", "line", "qname").limit(50)
 
 
-@query(
-    "g9_changed_symbols",
-    _CHANGED,
-    True,
-    R.SUPPLY_EDGES,
-    _LAYERS,
-)
+@query("g9_changed_symbols", _CHANGED, True, R.SUPPLY_EDGES, _LAYERS)
 def changed_symbols(spark, d):
     return _changed(spark, *_layers(spark, d))
 
 
-@query("g9_changed_symbols_whole", _CHANGED, True, R.SUPPLY_EDGES, _ALL_LAYERS)
-def changed_symbols_whole(spark, d):
-    return _changed(spark, *_layers(spark, d, "copsn"))
-
-
 _ORPHANS = """SELECT qname, file, line, 'high' AS confidence FROM layer_symbols s WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.dst = s.qname) ORDER BY file, line, qname LIMIT 50"""
 
 
-@query(
-    "g8_dead_code",
-    _ORPHANS,
-    False,
-    R.SUPPLY_EDGES,
-    _LAYERS,
-)
+@query("g8_dead_code", _ORPHANS, False, R.SUPPLY_EDGES, _LAYERS)
 def dead_code(spark, d):
     edges, symbols = _layers(spark, d)
     return changes.ordered_orphans(changes.dead_code(symbols, edges)).select("qname", "file", "line", "confidence")
 
 
-@query("g8_dead_code_whole", _ORPHANS, False, R.SUPPLY_EDGES, _ALL_LAYERS)
-def dead_code_whole(spark, d):
-    edges, symbols = _layers(spark, d, "copsn")
-    return changes.ordered_orphans(changes.dead_code(symbols, edges)).select("qname", "file", "line", "confidence")
-
-
 _DIRS = """dir_edges AS (
   SELECT regexp_extract(a.file, '^(.*)/', 1) AS from_dir, regexp_extract(b.file, '^(.*)/', 1) AS to_dir, count(*)::BIGINT AS calls
   FROM event_edges e JOIN event_symbols a ON a.qname = e.src JOIN event_symbols b ON b.qname = e.dst WHERE from_dir <> to_dir GROUP BY ALL)"""

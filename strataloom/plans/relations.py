@@ -14,10 +14,10 @@ def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def supply_edges(spark: SparkSession, d: str, layers: str = "copsn") -> DataFrame:
-    """Acyclic: customer to order to part to supplier to nation to region; layers: the first letters of wanted sources."""
+def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Acyclic: customer to order to part to supplier to nation to region."""
     pairs = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
-    parts = [read(spark, d, t).select(_id(a, x).alias("src"), _id(b, y).alias("dst")).distinct() for t, a, x, b, y in pairs if a in layers]
+    parts = [read(spark, d, t).select(_id(a, x).alias("src"), _id(b, y).alias("dst")).distinct() for t, a, x, b, y in pairs]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -82,9 +82,7 @@ numstat AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN commits c ON l_orderkey = c.o_orderkey)"""
 HISTORY = """history AS (
   SELECT n.path, count(DISTINCT n.commit_seq)::BIGINT AS commits, sum(adds)::BIGINT AS additions, sum(dels)::BIGINT AS deletions, arg_min(c.day, n.commit_seq) AS last_date, count(DISTINCT author)::BIGINT AS authors
-  FROM numstat n JOIN commits c USING (commit_seq) WHERE c.commit_seq < 1000 GROUP BY n.path)"""
-#: The same over all commits.
-HISTORY_ALL = HISTORY.replace(" WHERE c.commit_seq < 1000", "")
+  FROM numstat n JOIN commits c USING (commit_seq) GROUP BY n.path)"""
 
 
 def definitions(spark: SparkSession, d: str) -> DataFrame:

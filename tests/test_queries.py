@@ -38,14 +38,14 @@ def test_entry_and_registry(spark):
 
 
 def test_whole_supply_graph(spark, sql):
-    """The _whole queries leave out no layer: every node is ranked, only customers are without callers, impacts reach customers."""
+    """The queries of the supply graph leave out no layer: every node is ranked, only customers are without callers, impacts reach customers."""
     nodes = {q for (q,) in sql.sql("SELECT 'c' || o_custkey FROM orders UNION SELECT 'o' || o_orderkey FROM orders UNION SELECT 'p' || l_partkey FROM lineitem UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 'r' || n_regionkey FROM nation").fetchall()}
-    ranks = {r.qname: r["rank"] for r in QUERIES["g1_pagerank_dangling_whole"](spark, DIR).collect()}
+    ranks = {r.qname: r["rank"] for r in QUERIES["g1_pagerank_dangling"](spark, DIR).collect()}
     assert set(ranks) == nodes and sum(ranks.values()) == pytest.approx(1, abs=1e-4)
-    assert {r.qname[0] for r in QUERIES["g8_dead_code_whole"](spark, DIR).collect()} == {"c"}
+    assert {r.qname[0] for r in QUERIES["g8_dead_code"](spark, DIR).collect()} == {"c"}
     reach = "l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)"
     ((want,),) = sql.sql(f"SELECT (SELECT count(*) FROM supplier WHERE s_nationkey = 3) + count(DISTINCT l_partkey) + (SELECT count(DISTINCT l_orderkey) + count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE {reach})) FROM lineitem WHERE {reach}").fetchall()
-    assert {r.qname: r.impacted_count for r in QUERIES["g9_changed_symbols_whole"](spark, DIR).collect()}["n3"] == want
+    assert {r.qname: r.impacted_count for r in QUERIES["g9_changed_symbols"](spark, DIR).collect()}["n3"] == want
 
 
 def test_history_cap(spark, sql):
@@ -55,4 +55,4 @@ def test_history_cap(spark, sql):
     lines = spark.createDataFrame([(k, "f", 1, 0) for k in range(4)], "commit_seq long, path string, adds int, dels int")
     assert [file_history(commits, lines, n).first().commits for n in (3, -1)] == [3, 4]
     ((orders, additions),) = sql.sql("SELECT count(DISTINCT l_orderkey), sum(l_quantity::INTEGER) FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey").fetchall()
-    assert orders > 1000 and sum(r.additions for r in QUERIES["a1_history_all"](spark, DIR).collect()) == additions
+    assert orders > 1000 and sum(r.additions for r in QUERIES["a1_history"](spark, DIR).collect()) == additions
