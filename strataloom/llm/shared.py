@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (local tests), a temporary one of our own.
-
-    On a cluster without that setting this raises: a machine-local folder would lose files.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if getattr(context, "_strataloom_folder", None) is None:
-        context._strataloom_folder = "file://" + tempfile.mkdtemp(prefix="strataloom-")
-    return context._strataloom_folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet into the shared folder and read again.
 

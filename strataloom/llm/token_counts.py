@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .shared import sliced, table
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
-#: Pre-tokens other than whole tokens whose counts a Python worker remembers.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens other than whole tokens whose counts a Python worker remembers, and bytes that an entry takes besides its string.
+REMEMBERED_BYTES, ENTRY_BYTES = 64_000_000, 110
 
 
 def _byte_characters() -> dict[str, int]:
@@ -28,7 +29,8 @@ def _byte_characters() -> dict[str, int]:
 class Counter(dict):
     """Pre-token: number of tokens. Starts with the proven whole tokens; learns the rest as texts need them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: list[str] | None = None) -> None:
+        """whole: what proven() of the same file gave before, so that it need not be proven again."""
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -38,8 +40,9 @@ class Counter(dict):
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = sorted((t.content for t in added.values()), key=len, reverse=True)
         self.apart = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
-        super().__init__(dict.fromkeys(self.proven(), 1))
-        self.learned = 0
+        self.whole = self.proven() if whole is None else whole
+        super().__init__(dict.fromkeys(self.whole, 1))
+        self.left = REMEMBERED_BYTES
 
     def proven(self) -> list[str]:
         """The vocabulary's strings that are one pre-token and that the library encodes as one token, themselves.
@@ -62,8 +65,9 @@ class Counter(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if self.learned < REMEMBERED:
-            self.learned += 1
+        cost = sys.getsizeof(piece) + ENTRY_BYTES
+        if cost <= self.left:
+            self.left -= cost
             self[piece] = n
         return n
 
@@ -83,10 +87,22 @@ def plain_added_tokens(path: str) -> bool:
 
 
 @lru_cache(1)
-def counter(path: str) -> Counter:
+def proven(path: str) -> list[str]:
+    """Counter.proven() of a file that is of its kind; an error for other files."""
     if not plain_added_tokens(path):
         raise ValueError(f"{path}: not a plain byte-level BPE")
-    return Counter(path)
+    return Counter(path).whole
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: list[str] | None = None) -> Counter:
+    """This process's counter of the file, with its proven whole tokens or those it proves; another file's goes."""
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = Counter(path, proven(path) if whole is None else whole)
+    return _counters[path]
 
 
 def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -94,12 +110,15 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
 
     path: a tokenizers file of byte-level BPE that every executor has. Tokens are those of
     encode(text, add_special_tokens=False): a special token's string inside a text is that token. Null
-    text is empty: 0 bytes, 0 tokens. Rows stream through; repeated ones stay. A worker's table holds
-    the vocabulary and REMEMBERED further pre-tokens; later ones are merged anew.
+    text is empty: 0 bytes, 0 tokens; a very long one is counted whole, its pre-tokens in one list. Rows
+    stream through; repeated ones stay, other columns go. The driver proves the whole tokens once and
+    broadcasts them, a part of the file's vocabulary and so as bounded as it. A worker's table holds
+    them and REMEMBERED_BYTES of further pre-tokens; later ones are merged anew. Empty table: no rows.
     """
+    whole = documents.sparkSession.sparkContext.broadcast(proven(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        count = counter(path, whole.value).count
         for batch in sliced(batches):
             texts = batch.column(1).fill_null("")
             n_tokens = pa.array([count(t) for t in texts.to_pylist()], pa.int64())

@@ -132,6 +132,24 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in held]) >= 0.97 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
 
 
+@pytest.mark.parametrize("fan_in", [1_000, 2])
+def test_ridge_is_the_direct_solution(spark, monkeypatch, fan_in):
+    """The summed normal equations against least squares on all rows at once, with a row more for each penalty."""
+    monkeypatch.setattr(quality, "FAN_IN", fan_in)
+    documents, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(documents.repartition(6), labels)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    known = [(texts[r.doc_id], float(r.quality), quality.fold(r.doc_id)) for r in labels.collect() if r.quality is not None and r.doc_id in texts]
+    stats = np.array([quality.statistics(t) for t, _, k in known if k != 2])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.maximum(stats.std(0), 1e-3))
+    x = model.features(np.array([quality.statistics(t) for t, _, k in known if k < 2]))
+    y = np.array([v for _, v, k in known if k < 2])
+    penalty = np.full(x.shape[1], quality.RIDGE * len(y))
+    penalty[-1] = 1e-9 * len(y)
+    want = np.linalg.lstsq(np.vstack([x, np.diag(np.sqrt(penalty))]), np.concatenate([y, np.zeros(x.shape[1])]), rcond=None)[0]
+    assert len(y) > 20 and np.allclose(x @ model.beta, x @ want, atol=1e-6) and np.allclose(model.beta, want, atol=1e-5)
+
+
 def test_statistics_take_every_word():
     words = ["ab"] * 5_000
     words[4_321] = "x" * 700
@@ -429,6 +447,21 @@ def test_token_counts_of_sample_documents(spark):
         assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
+def test_remembered_pre_tokens_are_bounded_in_bytes(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    texts = ["zq" * n + " qzx" + str(n) for n in range(1, 400)] + ["y" * 50_000]
+    free = token_counts.Counter(path, token_counts.proven(path))
+    want = [free.count(t) for t in texts]
+    for limit in (0, 20_000):
+        monkeypatch.setattr(token_counts, "REMEMBERED_BYTES", limit)
+        c = token_counts.Counter(path, token_counts.proven(path))
+        assert [c.count(t) for t in texts] == want
+        learned = set(c) - set(c.whole)
+        assert sum(len(t) + token_counts.ENTRY_BYTES for t in learned) <= limit and bool(learned) == (limit > 0)
+
+
 def test_unknown_tokenizer_files_are_refused(tmp_path):
     import public_tokenizers
 
@@ -621,6 +654,56 @@ def test_licenses(spark):
         licenses.Templates((("x", "too short"),))
 
 
+def _license_shingles(text):
+    w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+
+def brute_licenses(text):
+    """(names, places, greatest containment) by every window of every template, no bands; names found in runs at every offset."""
+    have, names, places, most, anywhere = _license_shingles(text), set(), 0, 0.0, set()
+    for name, template in licenses.TEMPLATES:
+        run = _license_shingles(template)
+        wanted, reach = set(run), 1
+        while reach < len(run):
+            reach *= 2
+        share = lambda part: len(wanted & set(part)) / len(wanted)  # noqa: B023, E731
+        end = 0
+        for at in range(0, len(have), reach):
+            part = have[at : at + (2 * reach if reach > 1 else 1)]
+            if share(part) >= licenses.CONTAINMENT:
+                names.add(name)
+                most = max(most, share(part))
+                if at >= end:
+                    places, end = places + 1, at + len(part)
+        if any(share(have[at : at + len(run)]) >= licenses.CONTAINMENT for at in range(len(have))):
+            anywhere.add(name)
+    return ",".join(sorted(names)), places, most, anywhere
+
+
+def test_licenses_equal_a_scan_of_every_window(spark):
+    rng = random.Random(9)
+    texts = [None, "", "a b c", "x " * 5_000 + licenses.TEMPLATES[0][1]]
+    for _ in range(240):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([["other"], [], [words[k], "more"]])
+            parts += [f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))] + words
+        texts.append(rng.choice([" ", "  ", ", "]).join(parts))
+    texts += [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    found = {r.doc_id: r for r in licenses.licenses(docs_of(spark, list(enumerate(texts)))).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        names, places, most, anywhere = brute_licenses(t)
+        assert (found[i].licenses, found[i].n_places, found[i].containment) == (names, places, pytest.approx(most)), i
+        assert anywhere <= set(names.split(","))
+        hits += bool(names)
+    assert 100 < hits < len(texts)
+
+
 def test_license_retrieval_at_every_offset():
     known = licenses.Templates()
     filler = [f"f{k}" for k in range(200)]
