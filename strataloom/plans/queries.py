@@ -268,11 +268,11 @@ def history_top(spark, d):
 
 
 def _scored(spark, d):
-    """Part symbols by caller count (a stand-in for rank that SQL has too) and the churn of their file."""
+    """Part symbols by caller count (a stand-in for rank that SQL has too) and the churn of their file in all commits."""
     symbols = R.part_symbols(spark, d).withColumn("kind", F.lit("function")).withColumn("line", F.regexp_extract("qname", r"#(\d+)$", 1).try_cast("int")).withColumn("line", F.coalesce("line", F.lit(1)))
     counts = graph.caller_counts(resolve.edges_of(_resolved(spark, d)))
     ranks = counts.select("qname", F.col("callers").cast("double").alias("rank"))
-    return ranking.scored_symbols(symbols, ranks, counts, history.file_history(*R.commit_tables(spark, d)), 0.3)
+    return ranking.scored_symbols(symbols, ranks, counts, history.file_history(*R.commit_tables(spark, d), max_commits=-1), 0.3)
 
 
 _SCORED = """called AS (SELECT callee AS qname, count(DISTINCT caller_qname)::BIGINT AS callers FROM resolved WHERE callee IS NOT NULL AND callee <> caller_qname GROUP BY callee),

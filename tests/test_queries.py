@@ -1,6 +1,7 @@
 """Every registered code-graph query against its SQL on the smallest tables."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -56,3 +57,23 @@ def test_history_cap(spark, sql):
     assert [file_history(commits, lines, n).first().commits for n in (3, -1)] == [3, 4]
     ((orders, additions),) = sql.sql("SELECT count(DISTINCT l_orderkey), sum(l_quantity::INTEGER) FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey").fetchall()
     assert orders > 1000 and sum(r.additions for r in QUERIES["a1_history"](spark, DIR).collect()) == additions
+
+
+@pytest.fixture(scope="module")
+def old_churn(tmp_path_factory):
+    """1,200 orders, newest first: the newest 100 change part 1, the 200 oldest part 2; no line refers to a symbol."""
+    d = tmp_path_factory.mktemp("old_churn")
+    tables = {
+        "orders": "SELECT k AS o_orderkey, k % 7 AS o_custkey, TIMESTAMP '2024-01-01' - to_days(k::INTEGER) AS o_orderdate FROM range(1200) t(k)",
+        "lineitem": "SELECT k AS l_orderkey, CASE WHEN k < 100 THEN 1 ELSE 2 END::BIGINT AS l_partkey, 5 AS l_linenumber, 1.0::DOUBLE AS l_quantity FROM range(1200) t(k) WHERE k < 100 OR k >= 1000",
+        "part": "SELECT k AS p_partkey, 'nut' AS p_name, 'B' || k AS p_brand, 'T' AS p_type FROM range(1, 3) t(k)",
+        "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name",
+    }
+    for name, rows in tables.items():
+        duckdb.sql(f"COPY ({rows}) TO '{d}/{name}.parquet'")
+    return str(d)
+
+
+def test_blended_scores_count_old_orders(spark, old_churn):
+    got = {r.qname: (r.callers, r.churn, r.score) for r in QUERIES["f10_blended_scores"](spark, old_churn).collect()}
+    assert got == {"B1/T::nut#1": (0, 100, round(0.3 * math.log(101) / math.log(201), 6)), "B2/T::nut#2": (0, 200, 0.3), "geo/nation::N": (0, 0, 0.0)}
