@@ -77,3 +77,8 @@ def old_churn(tmp_path_factory):
 def test_blended_scores_count_old_orders(spark, old_churn):
     got = {r.qname: (r.callers, r.churn, r.score) for r in QUERIES["f10_blended_scores"](spark, old_churn).collect()}
     assert got == {"B1/T::nut#1": (0, 100, round(0.3 * math.log(101) / math.log(201), 6)), "B2/T::nut#2": (0, 200, 0.3), "geo/nation::N": (0, 0, 0.0)}
+
+
+def test_repo_map_ranks_by_old_orders(spark, old_churn):
+    got = {r.position: r.qname for r in QUERIES["w5_repo_map"](spark, old_churn).collect()}
+    assert got == {1: "B2/T::nut#2", 2: "B1/T::nut#1", 3: "geo/nation::N"}
