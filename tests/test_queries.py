@@ -82,3 +82,8 @@ def test_blended_scores_count_old_orders(spark, old_churn):
 def test_repo_map_ranks_by_old_orders(spark, old_churn):
     got = {r.position: r.qname for r in QUERIES["w5_repo_map"](spark, old_churn).collect()}
     assert got == {1: "B2/T::nut#2", 2: "B1/T::nut#1", 3: "geo/nation::N"}
+
+
+def test_repo_map_text_shows_old_orders(spark, old_churn):
+    want = "B2/T\n  :2     function nut  (churn: 200)\nB1/T\n  :1     function nut  (churn: 100)\ngeo/nation\n  :1     function N\n"
+    assert QUERIES["k6_repo_map_text"](spark, old_churn).first().map == want
