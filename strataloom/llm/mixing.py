@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_name, table, written
+from .shingles import word_counts
 
 #: Weights that sources take in turn, in order of their names' code points, a null source last.
 WEIGHTS = (5, 2, 1)
@@ -20,10 +21,19 @@ BLOCK_ROWS, LANDING = 1_000, 15
 _TOLERANCE = 1e-9
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_id, source, text, h = batch.columns
+        yield pa.RecordBatch.from_arrays([doc_id, source, pa.array(word_counts(text)), h], ["doc_id", "source", "size", "h"])
+
+
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size and h, a hash of the row, for each row; size counts runs of other characters than white space."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("h"))
+    """doc_id, source, size and h, a hash of the row, for each row; size counts runs of other characters than white space.
+
+    Counted over Arrow's buffers: a pattern in the JVM makes a string a word, and its heap grows to its limit on them.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "source", "text").alias("h"))
+    return rows.mapInArrow(_sizes, f"doc_id long, source {dict(rows.dtypes)['source']}, size long, h long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -182,7 +192,6 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_rows
     Null text: size 0, never drawn. Null source: a source. Repeated rows count as documents. Empty
     table: no rows.
     """
-    spark = documents.sparkSession
     rows = written(sized(documents), "sizes")
     aims = written(targets(rows, weights).withColumnRenamed("source", "aim"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -198,9 +207,8 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_rows
     most = aims.agg(F.max(F.ceil(F.col("n") / F.lit(block_rows)))).first()[0] or 0
     fields = [f.split()[0] for f in _STATE.split(", ")]
     done, level, open_ = [], 0, state.withColumn("k", F.lit(0))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        flown = open_.select(*fields).repartition(tasks, "source", "b").sortWithinPartitions("source", "b", "h", "doc_id", "r").mapInArrow(_flights(False), _STATE)
+        flown = open_.select(*fields).repartition("source", "b").sortWithinPartitions("source", "b", "h", "doc_id", "r").mapInArrow(_flights(False), _STATE)
         flown = written(flown, "flight")
         settled = (F.col("pi") <= 0) | (F.col("pi") >= 1)
         done.append(flown.where(settled))
@@ -218,7 +226,7 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_rows
     again = open_.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * F.col("whole")).alias("more"))
     due = given.join(again.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "full").select(F.coalesce("of", "of2").alias("of"), (F.coalesce("given", F.lit(0.0)) + F.coalesce("more", F.lit(0))).alias("given"))
     last = open_.join(due, F.col("source").eqNullSafe(F.col("of"))).withColumn("owed", F.col("target") - F.col("given"))
-    landed = last.select(*fields, "owed").repartition(tasks, "source").sortWithinPartitions("source", "h", "doc_id", "r").mapInArrow(_landings, _STATE)
+    landed = last.select(*fields, "owed").repartition("source").sortWithinPartitions("source", "h", "doc_id", "r").mapInArrow(_landings, _STATE)
     copies = (F.col("whole") + F.round("pi").cast("long")).alias("copies")
     out = settled.unionByName(landed).select("doc_id", "source", "size", "source_size", "target", copies, "h", "r")
     return out.withColumn("taken", F.col("copies") * F.col("size"))

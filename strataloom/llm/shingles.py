@@ -79,6 +79,19 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         row = end
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Words of each text, parted at white space; nulls have none."""
+    out = np.zeros(len(texts), np.int64)
+    for first, end, data, offsets in pieces(texts):
+        inside = ~_SPACE[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        limits = offsets[1:-1][offsets[1:-1] < len(data)]
+        begins[limits] = inside[limits]
+        out[first:end] = np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+    return out
+
+
 def shingled(texts: pa.Array, width: int = WIDTH, alnum: bool = False) -> Iterator[Shingled]:
     """Hashes of the words (A-Z lower-cased, parted at white space) and of width words in a row.
 

@@ -50,6 +50,17 @@ def test_shingles_do_not_depend_on_chunks(monkeypatch):
     assert (np.concatenate([p.shingles for p in shingles.shingled(texts)]) == whole).all()
 
 
+def test_word_counts(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " \t", "one", " é\x0bü ", "a\x1cb\xa0c\u2003d", "\x00 \U0001f600"] + ["".join(rng.choices(" \t\n\x0c\raé\U0001f600", k=k)) for k in range(60)]
+    want = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    for chunk in (1 << 20, 50):
+        monkeypatch.setattr(shingles, "CHUNK_BYTES", chunk)
+        assert shingles.word_counts(pa.array(texts)).tolist() == want
+        assert shingles.word_counts(pa.array(texts)[5:40]).tolist() == want[5:40]
+    assert shingles.word_counts(pa.array([], pa.string())).tolist() == []
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (5, None)]
@@ -312,6 +323,24 @@ def test_mixed_agrees_with_itself(spark):
     assert sorted(mix.collect()) == sorted(mixing.mixed(df.repartition(5)).collect())
 
 
+def test_mixing_of_a_small_table_writes_few_files(spark):
+    df = docs_of(spark, [(k, "w " * (k % 50), f"s{k % 3}") for k in range(1500)])
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        out = mixing.mixture(df, block_rows=20)
+        assert out.count() == 1500 and len(out.inputFiles()) <= 16  # one for each of 48 partitions that holds a block, before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_sizes_are_counted_without_a_string_a_word(spark):
+    rows = ODD + [(20 + k, " \x0b\u2003é\x1c\tz" * k) for k in range(5)]
+    sizes = mixing.sized(docs_of(spark, rows))
+    assert "regexp" not in sizes._jdf.queryExecution().executedPlan().toString()  # regexp_count makes an array of all words
+    assert {r.doc_id: r["size"] for r in sizes.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows}
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 900, 300)
