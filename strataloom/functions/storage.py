@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -44,3 +45,13 @@ def discard(df: DataFrame | None) -> None:
     if path:
         fs, hadoop_path = _filesystem(df.sparkSession, path)
         fs.delete(hadoop_path, True)
+
+
+#: Rows that a task of a shuffle gets, and those it gets at most once there are as many tasks as Spark's plain shuffle writer serves.
+TASK_ROWS, MOST_TASK_ROWS, PLAIN_TASKS = 400_000, 2_000_000, 200
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a shuffle of so many rows: by default Spark packs 64 MB of compressed rows into one, of which sorts and sums take many times that."""
+    even = min(spark.sparkContext.defaultParallelism, math.ceil(rows / 20_000))
+    return max(1, even, min(PLAIN_TASKS, math.ceil(rows / TASK_ROWS)), math.ceil(rows / MOST_TASK_ROWS))

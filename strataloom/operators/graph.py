@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import discard, materialised
+from ..functions.storage import discard, materialised, tasks_for
 
 DAMPING, ROUNDS = 0.85, 50
 #: Edges and nodes together up to which PageRank runs in one task.
 ONE_TASK = 200_000
+#: Rounds of a larger graph that are kept apart by the length of their walks.
+APART = 8
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -21,10 +24,11 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def node_set(edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """qname of every symbol and every end of an edge."""
+def node_set(edges: DataFrame, symbols: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """qname of every symbol and every end of an edge. tasks: how many share the work; Spark's own number if none."""
     ends = edges.select(F.col("src").alias("qname")).union(edges.select("dst"))
-    return (ends if symbols is None else ends.union(symbols.select("qname"))).distinct()
+    ends = ends if symbols is None else ends.union(symbols.select("qname"))
+    return (ends.repartition(tasks, "qname") if tasks else ends).distinct()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def expand_seeds(symbols: DataFrame, seeds: DataFrame) -> DataFrame:
     return symbols.join(s, (symbols["qname"] == s["seed"]) | (symbols["file"] == s["seed"]) | (symbols["name"] == s["seed"]), "left_semi").select("qname").distinct()
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, one_task: int = ONE_TASK) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, one_task: int = ONE_TASK, apart: int = APART) -> DataFrame:
     """(qname, rank) after rounds from a uniform start; ranks sum to 1.
 
     seeds(qname): the nodes that teleport leads to, evenly; all nodes if none is given or none is
@@ -114,12 +118,21 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
     A graph of up to one_task edges and nodes, counted first, takes all rounds in one task, by numpy: at
     that size a round of joins is nothing but planning. A larger one takes one join and one sum a
     round, no join with the node table: every edge carries 1 / out-degree, and each node one row of 0 to
-    itself so that it stays. Links and sums are both partitioned by node, so a round has one exchange;
-    every few rounds the ranks are materialised and those before deleted, so the disk holds two of
-    them at most.
+    itself so that it stays. Links are partitioned and sorted by source once.
+
+    A round is linear, so the first `apart` ones only pass on what walks from the start and from the
+    teleport vector bring, each to the nodes that have some of it; the ranks are sums of these by weights that
+    need no more than their totals. Where no walk is longer (no cycles), that is the whole job,
+    whatever the rounds. Others go on from there, and every few rounds the ranks are
+    materialised and those before deleted, so the disk holds two of them at most.
     """
     edges = materialised(edges.select("src", "dst"))
-    nodes = materialised(node_set(edges) if nodes is None else nodes.select("qname").union(node_set(edges)).distinct())
+    spark, m = edges.sparkSession, edges.count()
+    tasks = tasks_for(spark, m)
+    out = materialised(edges.repartition(tasks, "src").groupBy("src").agg(F.count("*").alias("degree")))
+    ends = out.select(F.col("src").alias("qname")).union(edges.select("dst"))
+    ends = ends if nodes is None else ends.union(nodes.select("qname"))
+    nodes = materialised(ends.repartition(tasks, "qname").distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
@@ -127,38 +140,66 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, seeds: DataFrame
     t = targets.count()
     if not t:
         targets, t = nodes, n
-    jump = nodes.join(targets.select("qname", F.lit(1.0 / t).alias("jump")), "qname", "left").select("qname", F.coalesce("jump", F.lit(0.0)).alias("jump"))
-    if n + edges.limit(one_task + 1).count() <= one_task:
+    jump = nodes.select("qname", F.lit(1.0 / n).alias("jump")) if t == n else nodes.join(targets.select("qname", F.lit(1.0 / t).alias("jump")), "qname", "left").select("qname", F.coalesce("jump", F.lit(0.0)).alias("jump"))
+    if n + min(m, one_task + 1) <= one_task:
         rows = jump.select("qname", F.lit(None).cast("string").alias("dst"), "jump").union(edges.select("src", "dst", F.lit(0.0)))
         return materialised(rows.coalesce(1).mapInArrow(_ranks_of(rounds, damping), "qname string, rank double"))
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    state = jump.join(out.select(F.col("src").alias("qname"), "degree"), "qname", "left").select("qname", "jump", F.col("degree").isNull().alias("dangling"))
-    state = materialised(state)
-    links = edges.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share"), F.lit(None).cast("double").alias("jump"), F.lit(False).alias("dangling"))
-    own = state.select(F.col("qname").alias("src"), F.col("qname").alias("dst"), F.lit(0.0).alias("share"), "jump", "dangling")
-    links = materialised(links.unionByName(own)).repartition("src").persist()
-    ranks = state.select("qname", F.lit(1.0 / n).alias("rank"), "dangling", "jump")
-    loose, last = not state.where("dangling").isEmpty(), None
-    for k in range(1, rounds + 1):
-        lost = F.lit(0.0)
-        if loose:  # the sum comes with the write that cuts the lineage
+    loose = out.count() < n
+    links = edges.repartition(tasks, "src").join(out.repartition(tasks, "src").hint("merge"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share"))
+    links = links.persist()
+    walks, totals = [materialised(jump.select("qname", F.lit(1.0 / n).alias("start"), "jump"))], [(1.0, 1.0)]
+    for _ in range(min(apart, rounds)):
+        seen = Observation()
+        came = lambda c: F.sum(F.col(c) * F.col("share")).alias(c)
+        step = links.join(walks[-1].withColumnRenamed("qname", "src").repartition(tasks, "src"), "src").groupBy(F.col("dst").alias("qname")).agg(came("start"), came("jump"))
+        walks.append(materialised(step.observe(seen, F.sum("start").alias("start"), F.sum("jump").alias("jump"))))
+        totals.append((float(seen.get["start"] or 0.0), float(seen.get["jump"] or 0.0)))
+        if walks[-1].isEmpty():
+            break
+    over = walks[-1].isEmpty()
+    k = rounds if over else len(walks) - 1
+    ranks = materialised(_sum_of_walks(walks, totals, k, damping, tasks))
+    for done in walks:
+        discard(done)
+    if k < rounds:
+        own = jump.select(F.col("qname").alias("src"), F.col("qname").alias("dst"), F.lit(0.0).alias("share"), "jump")
+        full = links.withColumn("jump", F.lit(None).cast("double")).unionByName(own).repartition(tasks, "src").persist()
+        last = ranks
+        for k in range(k + 1, rounds + 1):
             seen = Observation()
-            last, before = materialised(ranks.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))), last
-            discard(before)
-            ranks, lost = last, F.lit(float(seen.get["lost"] or 0.0))
-        elif k % every == 0:
-            last, before = materialised(ranks), last
-            discard(before)
-            ranks = last
-        moved = links.join(ranks.select(F.col("qname").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"), F.max("jump").alias("jump"), F.max("dangling").alias("dangling"))
-        ranks = moved.select(F.col("dst").alias("qname"), ((1 - damping) * F.col("jump") + damping * (F.col("in") + lost * F.col("jump"))).alias("rank"), "dangling", "jump")
-    ranks = materialised(ranks.select("qname", "rank"))
+            moved = full.join(ranks.select(F.col("qname").alias("src"), "rank").repartition(tasks, "src"), "src").groupBy(F.col("dst").alias("qname")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"), F.max("jump").alias("jump"))
+            lost = 0.0
+            if loose:  # what no edge passed on; the sum comes with the write that cuts the lineage
+                moved = materialised(moved.observe(seen, F.sum("in").alias("in")))
+                lost = 1.0 - float(seen.get["in"] or 0.0)
+            ranks = moved.select("qname", ((1 - damping) * F.col("jump") + damping * (F.col("in") + lost * F.col("jump"))).alias("rank"))
+            if loose or k % every == 0 or k == rounds:
+                ranks = ranks if loose and k < rounds else materialised(ranks)
+                discard(last)
+                last = moved if loose else ranks
+        full.unpersist()
+        if loose:
+            discard(last)
     links.unpersist()
-    for done in (last, state):
-        discard(done)
     return ranks
 
 
+def _sum_of_walks(walks: list[DataFrame], totals: list[tuple[float, float]], k: int, damping: float, tasks: int) -> DataFrame:
+    """(qname, rank) after k rounds, from walks of 0, 1, ... steps (qname, start, jump) and their totals; longer ones bring nothing.
+
+    rank(k) = d^k start(k) + sum over i < k of d^i back(k - i) jump(i), where back(j) is the share that teleports
+    in round j: 1 - d, and d times what the ranks before had at nodes without outgoing edges. Of a walk's total, the next one lacks just that.
+    """
+    at = lambda i, side: totals[i][side] if i < len(totals) else 0.0
+    ends = [tuple(at(i, side) - at(i + 1, side) for side in (0, 1)) for i in range(len(walks))]
+    back = [0.0]
+    for j in range(k):
+        lost = (damping**j * ends[j][0] if j < len(ends) else 0.0) + sum(damping**i * back[j - i] * ends[i][1] for i in range(min(j, len(ends))))
+        back.append((1 - damping) + damping * lost)
+    parts = [w.select("qname", ((damping**k if i == k else 0.0) * F.col("start") + (damping**i * back[k - i] if i < k else 0.0) * F.col("jump")).alias("rank")) for i, w in enumerate(walks) if i <= k]
+    return reduce(DataFrame.union, parts).repartition(tasks, "qname").groupBy("qname").agg(F.sum("rank").alias("rank"))
+
+
 def _ranks_of(rounds: int, damping: float):
     """All rounds over rows (qname, null, jump) of nodes and (src, dst, 0) of edges, both distinct."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialised, tasks_for
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,16 +16,28 @@ def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def supply_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Acyclic: customer to order to part to supplier to nation to region."""
-    pairs = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
-    parts = [read(spark, d, t).select(_id(a, x).alias("src"), _id(b, y).alias("dst")).distinct() for t, a, x, b, y in pairs]
+SUPPLY_PAIRS = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
+
+
+def supply_edges(spark: SparkSession, d: str, distinct: bool = True) -> DataFrame:
+    """Acyclic: customer to order to part to supplier to nation to region. Not distinct: for what takes each node once anyway."""
+    parts = []
+    for t, a, x, b, y in SUPPLY_PAIRS:
+        pairs = read(spark, d, t).select(x, y)
+        if distinct:  # by number, before there are names
+            pairs = pairs.repartition(tasks_for(spark, pairs.count()), x, y).distinct()
+        parts.append(pairs.select(_id(a, x).alias("src"), _id(b, y).alias("dst")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def supply_tasks(spark: SparkSession, d: str) -> int:
+    """Tasks for both ends of every edge of supply_edges."""
+    return tasks_for(spark, sum(2 * read(spark, d, t).count() for t, *_ in SUPPLY_PAIRS))
+
+
 SUPPLY_EDGES = """supply_edges AS (
   SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL
   SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL

@@ -44,6 +44,28 @@ def test_pagerank_in_one_task_and_by_joins(spark):
             assert one == pytest.approx(many) and sum(one.values()) == pytest.approx(1)
 
 
+def test_pagerank_goes_on_after_the_rounds_kept_apart(spark):
+    rng = random.Random(6)
+    rows = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(60)} | {("n1", "sink")})
+    e = spark.createDataFrame([(a, b) for a, b in rows if a != b], "src string, dst string")
+    ring = spark.createDataFrame([(f"n{k}", f"n{(k + s) % 20}") for k in range(20) for s in (1, 3)], "src string, dst string")
+    for edges in (e, ring):
+        for seeds in (None, spark.createDataFrame([("n3",), ("n4",)], "qname string")):
+            one = {r.qname: r["rank"] for r in graph.pagerank(edges, seeds=seeds, rounds=6).collect()}
+            for apart in (0, 2, 6):
+                many = {r.qname: r["rank"] for r in graph.pagerank(edges, seeds=seeds, rounds=6, every=2, one_task=0, apart=apart).collect()}
+                assert one == pytest.approx(many) and sum(many.values()) == pytest.approx(1)
+
+
+def test_pagerank_without_cycles_ends_with_the_longest_walk(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, real=graph.materialised: written.append(1) or real(df))
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "d")])
+    many = {r.qname: r["rank"] for r in graph.pagerank(e, one_task=0).collect()}
+    assert len(written) <= 10  # not one for each of 50 rounds
+    assert many == pytest.approx({r.qname: r["rank"] for r in graph.pagerank(e).collect()})
+
+
 def test_pagerank_empty_and_unknown_seed(spark):
     none = edges_of(spark, [])
     assert graph.pagerank(none).count() == 0
@@ -143,6 +165,17 @@ def test_dead_code_confidence(spark):
     assert {r.symbol: r.confidence for r in changes.dead_code(s, e, precise=True).collect()}["T.Unused"] == "medium"
 
 
+def test_dead_code_asks_patterns_of_orphans_alone(spark, monkeypatch):
+    """Of 200 symbols three have no caller; only those are left when paths and names are matched."""
+    written = []
+    monkeypatch.setattr(changes, "materialised", lambda df, real=changes.materialised: written.append(real(df)) or written[-1])
+    s = symbols_of(spark, [(f"m.go::f{k}", "m.go", k) for k in range(199)] + [("m_test.go::helper", "m_test.go", 1)])
+    e = edges_of(spark, [("m.go::f0", f"m.go::f{k}") for k in range(2, 199)])
+    for tasks in (None, 3):
+        assert {r.qname for r in changes.dead_code(s, e, tasks=tasks).collect()} == {"m.go::f0", "m.go::f1"}
+        assert written[-1].count() == 3
+
+
 def test_budget_is_a_prefix_and_keeps_one(spark):
     df = spark.createDataFrame([(k, "x" * (4 * c)) for k, c in enumerate([3, 4, 9, 1])], "k int, t string")
     cost = F.length("t") / 4
