@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import dirname, display
+from ..functions.storage import materialised
 from .graph import impact
 
 HCL_LANGS = ("hcl", "terraform")
@@ -21,21 +22,26 @@ def hcl_orphans(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return hcl.join(reads, near, "left_anti").withColumn("confidence", F.when(F.col("kind") == "output", "medium").otherwise("high"))
 
 
-def dead_code(symbols: DataFrame, edges: DataFrame, precise: bool = False) -> DataFrame:
+def dead_code(symbols: DataFrame, edges: DataFrame, precise: bool = False, tasks: int | None = None) -> DataFrame:
     """(qname, symbol, file, line, kind, exported, confidence) of callables without callers.
 
     Functions and methods outside tests, not named like entries and not called by a framework; weak
-    leads rank low. HCL symbols by their own rule.
+    leads rank low. HCL symbols by their own rule. Callables without callers are written first: the
+    patterns of paths and names are dear, and Spark would ask them of all symbols before that join.
+    tasks: how many share the join; Spark's own number if none.
     """
     kind = P.callable_kind(F.col("kind"), F.col("recv"))
     callables = symbols.where(kind.isin("function", "method") & ~F.coalesce("lang", F.lit("")).isin(*HCL_LANGS))
     lang = F.coalesce("lang", F.lit(""))
+    called = edges.select(F.col("dst").alias("qname"))
+    if tasks:
+        called = called.repartition(tasks, "qname").distinct().hint("merge")
+    alone = materialised(callables.join(called, "qname", "left_anti").select("qname", "name", "kind", "file", "line", "lang", "recv", "test", "public"))
     live = P.is_test_file(F.col("file")) | F.coalesce("test", F.lit(False)) | P.is_entry_name(F.col("name")) | P.is_framework_entry(F.col("file"), F.col("name"), lang)
-    alone = callables.where(~live).join(edges.select(F.col("dst").alias("qname")), "qname", "left_anti")
     exported = P.is_exported(lang, F.col("name"), F.col("public"))
     confidence = F.when(P.is_weak_lead(F.col("file"), F.col("name"), lang), "low").otherwise(P.orphan_confidence(kind, exported, precise))
     shown = display(F.col("lang"), F.col("recv"), F.col("name")).alias("symbol")
-    out = alone.select("qname", shown, "file", "line", kind.alias("kind"), exported.alias("exported"), confidence.alias("confidence"))
+    out = alone.where(~live).select("qname", shown, "file", "line", kind.alias("kind"), exported.alias("exported"), confidence.alias("confidence"))
     hcl = hcl_orphans(symbols, edges).select("qname", F.col("name").alias("symbol"), "file", "line", "kind", F.lit(False).alias("exported"), "confidence")
     return out.unionByName(hcl)
 

@@ -427,11 +427,12 @@ layer_symbols AS (SELECT q AS qname, CASE q[1] WHEN 'c' THEN 'customers/f' || (s
 
 def _layers(spark, d):
     edges = materialised(R.supply_edges(spark, d))
-    q = graph.node_set(edges)
+    q = graph.node_set(edges, tasks=R.supply_tasks(spark, d))
     first, number = F.substring("qname", 1, 1), F.expr("cast(substring(qname, 2) as bigint)")
     folder = F.when(first == "c", F.concat(F.lit("customers/f"), (number % 3).cast("string"))).when(first == "o", F.concat(F.lit("orders/f"), (number % 11).cast("string")))
     folder = folder.when(first == "p", F.concat(F.lit("parts/f"), (number % 7).cast("string"))).when(first == "s", F.concat(F.lit("suppliers/f"), (number % 5).cast("string"))).otherwise(F.concat(F.lit("places/f"), first))
-    symbols = q.select("qname", F.concat(folder, F.lit(".go")).alias("file"), number.cast("int").alias("line"), F.col("qname").alias("name"), F.lit("function").alias("kind"), F.lit("go").alias("lang"), F.lit("").alias("recv"), F.lit(False).alias("test"), F.lit(False).alias("public"))
+    at = materialised(q.select("qname", F.concat(folder, F.lit(".go")).alias("file"), number.cast("int").alias("line")))
+    symbols = at.select("qname", "file", "line", F.col("qname").alias("name"), F.lit("function").alias("kind"), F.lit("go").alias("lang"), F.lit("").alias("recv"), F.lit(False).alias("test"), F.lit(False).alias("public"))
     return edges, symbols
 
 
@@ -460,7 +461,7 @@ _ORPHANS = """SELECT qname, file, line, 'high' AS confidence FROM layer_symbols
 @query("g8_dead_code", _ORPHANS, False, R.SUPPLY_EDGES, _LAYERS)
 def dead_code(spark, d):
     edges, symbols = _layers(spark, d)
-    return changes.ordered_orphans(changes.dead_code(symbols, edges)).select("qname", "file", "line", "confidence")
+    return changes.ordered_orphans(changes.dead_code(symbols, edges, tasks=R.supply_tasks(spark, d))).select("qname", "file", "line", "confidence")
 
 
 _DIRS = """dir_edges AS (
