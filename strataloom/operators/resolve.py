@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dirname, stem
+from ..functions.storage import materialised
+
+#: Looked-up questions up to which their answers are broadcast to the references.
+BROADCAST_ROWS = 200_000
 
 
 def unique_by(symbols: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -33,7 +37,7 @@ def unique_keys(symbols: DataFrame) -> DataFrame:
     return rows.select("qname", F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.first("qname").alias("found")).where("n = 1").select("key", "found")
 
 
-def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, tasks: int | None = None) -> DataFrame:
     """refs(ref_id, caller_qname, caller_file, callee_name, callee_recv, allow_bare) with callee, null where unresolved.
 
     Tiers in order: HCL files (imported module, then file and directory, never global); a template's
@@ -46,8 +50,12 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     What resolves a reference is its file, name, receiver and bareness alone, so equal ones are looked up
     once. Such a question becomes a row for each tier that applies; all meet the unique keys in one join,
     and the first tier that hits is a minimum that sums up by task.
+
+    tasks: for large tables; so many tasks share the symbols, and references and answers are written once.
     """
     asked = ["caller_file", "callee_name", "callee_recv", "allow_bare"]
+    if tasks:  # each symbol becomes a row for each scope, so few files of symbols must not be few tasks
+        refs, symbols = materialised(refs), symbols.repartition(tasks, "qname")
     occurrences, refs = refs, refs.select(*asked).distinct()
     target = imports.groupBy(F.col("file").alias("__file"), F.col("alias").alias("__alias")).agg(F.max(F.struct("target_file", "target_name")).alias("__to"))
     name, recv, file = F.col("callee_name"), F.coalesce("callee_recv", F.lit("")), F.col("caller_file")
@@ -88,6 +96,9 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     tries = F.array_compact(F.array(*(F.when(applies, F.struct(F.lit(k).alias("tier"), key.alias("key"))) for k, (applies, key) in enumerate(tiers))))
     looked = rows.select(*asked, F.explode(tries).alias("t")).select(*asked, "t.tier", "t.key")
     hits = looked.join(unique_keys(symbols), "key").groupBy(*(F.col(c).alias(f"__{c}") for c in asked)).agg(F.min_by("found", "tier").alias("callee"))
+    if tasks:
+        hits = materialised(hits)
+        hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in asked))
     return occurrences.join(hits, same, "left").select(*occurrences.columns, "callee")
 

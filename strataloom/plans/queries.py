@@ -197,7 +197,7 @@ def precise_mapping(spark, d):
 
 def _resolved(spark, d):
     none = spark.createDataFrame([], "file string, alias string, target_file string, target_name string")
-    return resolve.resolve(R.part_refs(spark, d), R.part_symbols(spark, d), none)
+    return resolve.resolve(R.part_refs(spark, d), R.part_symbols(spark, d), none, R.line_tasks(spark, d))
 
 
 @query("j0_resolution", "SELECT ref_id, caller_qname, callee FROM resolved", False, R.PART_SYMBOLS)

@@ -16,6 +16,23 @@ def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
+#: Rows up to which a table is broadcast to what is joined with it.
+BROADCAST_ROWS = 200_000
+
+
+def _met(left: DataFrame, key: str, right: DataFrame, other: str, rows: int, tasks: int, how: str = "inner") -> DataFrame:
+    """left joined with right, of so many rows, where left's key is right's other."""
+    on = F.col(key) == F.col(other)
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    return left.repartition(tasks, key).join(right.repartition(tasks, other).hint("merge"), on, how)
+
+
+def line_tasks(spark: SparkSession, d: str) -> int:
+    """Tasks for every line of an order."""
+    return tasks_for(spark, read(spark, d, "lineitem").count())
+
+
 SUPPLY_PAIRS = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
 
 
@@ -80,13 +97,16 @@ def commit_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     The sequence number needs the whole order; it is made from counts a day and a number within the day.
     """
     o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("author"), F.col("o_orderdate").alias("at"))
+    n, tasks = o.count(), line_tasks(spark, d)
     days = o.groupBy("at").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("at").orderBy("o_orderkey"))
-    seq = o.join(days.select("at", "before"), "at").withColumn("commit_seq", (F.col("before") + inside - 1).cast("long"))
-    commits = seq.select("commit_seq", "author", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"))
-    part = read(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("path"))
-    lines = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(seq.select("o_orderkey", "commit_seq"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return commits, lines.select("commit_seq", "path", F.col("l_quantity").cast("int").alias("adds"), F.col("l_linenumber").cast("int").alias("dels"))
+    seq = o.repartition(tasks_for(spark, n), "at").join(days.select("at", "before"), "at").withColumn("commit_seq", (F.col("before") + inside - 1).cast("long"))
+    seq = materialised(seq.select("o_orderkey", "commit_seq", "author", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("date")))
+    p = read(spark, d, "part")
+    part = p.select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("path"))
+    lines = _met(read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber"), "l_orderkey", seq.select("o_orderkey", "commit_seq"), "o_orderkey", n, tasks)
+    lines = _met(lines, "l_partkey", part, "p_partkey", p.count(), tasks)
+    return seq.select("commit_seq", "author", "date"), lines.select("commit_seq", "path", F.col("l_quantity").cast("int").alias("adds"), F.col("l_linenumber").cast("int").alias("dels"))
 
 
 COMMITS = """commits AS (
@@ -133,8 +153,11 @@ def part_refs(spark: SparkSession, d: str) -> DataFrame:
     caller = p.select(F.col("p_partkey").alias("k"), F.concat(file, F.lit("::"), F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("caller_qname"), file.alias("caller_file"))
     callee = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("part_name"))
     nation = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k3"), "n_name")
-    li = read(spark, d, "lineitem").withColumn("k2", (F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.lit(total)).withColumn("k3", F.col("l_orderkey") % 25)
-    rows = li.join(caller, li["l_partkey"] == caller["k"]).join(callee, "k2", "left").join(nation, "k3", "left")
+    li = read(spark, d, "lineitem")
+    tasks = line_tasks(spark, d)
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.lit(total)).alias("to"), (F.col("l_orderkey") % 25).alias("at"))
+    rows = _met(_met(rows, "to", callee, "k2", total, tasks, "left"), "l_partkey", caller, "k", total, tasks)
+    rows = rows.join(F.broadcast(nation), F.col("at") == F.col("k3"), "left")  # 25 rows
     name = F.when(F.col("l_linenumber") == 3, F.col("n_name")).otherwise(F.coalesce("part_name", F.lit("missing")))
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "caller_qname", "caller_file", name.alias("callee_name"), F.lit("").alias("callee_recv"), (F.col("l_linenumber") != 5).alias("allow_bare"))
 

@@ -141,6 +141,41 @@ def test_resolution_hcl_stays_local(spark):
     assert resolved(spark, symbols, refs, [("x/main.tf", "hcl-module:m", "m", "m")]) == {0: "m/v.tf::var.a", 1: None, 2: "m/o.tf::output.o"}
 
 
+def test_resolution_in_tasks_equals_resolution(spark):
+    """Symbols are spread before each becomes a row for each scope; references are read once more from what is written."""
+    s = spark.createDataFrame([(f"d{k % 3}/f{k % 5}.go::n{k}", f"n{k % 11}", f"d{k % 3}/f{k % 5}.go", "") for k in range(40)], "qname string, name string, file string, recv string").coalesce(1)
+    r = spark.createDataFrame([(k, "x", f"d{k % 3}/f{k % 7}.go", f"n{k % 13}", "", k % 4 > 0) for k in range(60)], "ref_id long, caller_qname string, caller_file string, callee_name string, callee_recv string, allow_bare boolean")
+    i = spark.createDataFrame([], "file string, alias string, target_file string, target_name string")
+    want = sorted(map(str, resolve.resolve(r, s, i).collect()))
+    assert sorted(map(str, resolve.resolve(r, s, i, tasks=3).collect())) == want
+    assert len(want) == 60
+
+
+def test_history_sums_numbers_alone(spark):
+    """No distinct counts that multiply rows, and no sums that sort."""
+    commits = spark.createDataFrame([(k, f"a{k % 2}", "2024-01-01") for k in range(4)], "commit_seq long, author string, date string")
+    lines = spark.createDataFrame([(k % 4, f"f{k % 3}", 1, 1) for k in range(24)], "commit_seq long, path string, adds int, dels int")
+    for tasks in (None, 3):
+        h = history.file_history(commits, lines, tasks=tasks)
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Expand" not in plan
+        assert {r.path: (r.commits, r.additions, r.authors) for r in h.collect()} == {f"f{k}": (4, 8, 2) for k in range(3)}
+
+
+def test_ends_without_callers_and_tasks(spark):
+    e = edges_of(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("d", "c")])
+    for tasks in (None, 3):
+        assert sorted(r.qname for r in graph.without_callers(e, tasks).collect()) == ["a", "d"]
+        assert sorted(r.qname for r in graph.node_set(e, tasks=tasks).collect()) == ["a", "b", "c", "d"]
+    assert sorted(map(tuple, graph.neighborhood(e, seeds_of(spark, "a")).collect())) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_tasks_grow_with_rows(spark):
+    from strataloom.functions.storage import tasks_for
+
+    assert [tasks_for(spark, n) for n in (0, 1, 36_000_000, 216_000_000, 1_000_000_000)] == [1, 1, 90, 200, 500]
+
+
 def test_history_and_renames(spark):
     commits = spark.createDataFrame([(0, "x", "2024-03-01T10:00:00Z"), (1, "x", "2024-05-01T10:00:00Z"), (2, "", "2024-01-01")], "commit_seq long, author string, date string")
     stats = spark.createDataFrame([(0, "a.txt", 1, None), (1, "a.txt", 2, 1), (2, "a.txt", 3, 0), (2, "src/{old => new}/file.go", 1, 1), (1, "pkg/{a/b => c}/x.go", 1, 1), (1, "old.go => new.go", 1, 1), (1, "lib/{x => }/f", 0, 0)], "commit_seq long, path string, adds int, dels int")
