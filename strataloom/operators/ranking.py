@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.storage import materialised
 
 SNIPPET_LINES = 40
 
@@ -29,6 +30,7 @@ def scored_symbols(symbols: DataFrame, ranks: DataFrame, callers: DataFrame, chu
     rows = symbols.join(ranks, "qname", "left").join(callers, "qname", "left")
     rows = rows.join(churn.select(F.col("path").alias("file"), F.col("commits").alias("churn")), "file", "left") if use else rows.withColumn("churn", F.lit(0).cast("long"))
     rows = rows.withColumns({"rank": F.coalesce("rank", F.lit(0.0)), "callers": F.coalesce("callers", F.lit(0)), "churn": F.coalesce("churn", F.lit(0))})
+    rows = materialised(rows)  # the scores and their tops both read them
     tops = rows.agg(F.max("rank").alias("top_rank"), F.max(F.log1p(F.col("churn").cast("double"))).alias("top_log"))
     score = S.blended(F.col("rank"), F.col("top_rank"), F.col("churn"), F.col("top_log"), weight, use)
     return rows.crossJoin(F.broadcast(tops)).withColumn("score", score).drop("top_rank", "top_log")  # a single row
