@@ -257,14 +257,18 @@ def innermost(spark, d):
 # ---- history, ranking, budgets ------------------------------------------------------------------------
 
 
+def _history(spark, d):
+    return history.file_history(*R.commit_tables(spark, d), max_commits=-1, tasks=R.line_tasks(spark, d))
+
+
 @query("a1_history", "SELECT * FROM history", False, R.COMMITS, R.HISTORY)
 def file_history(spark, d):
-    return history.file_history(*R.commit_tables(spark, d), max_commits=-1)
+    return _history(spark, d)
 
 
 @query("t5_history_top", "SELECT * FROM history ORDER BY commits DESC, path LIMIT 20", False, R.COMMITS, R.HISTORY)
 def history_top(spark, d):
-    return history.top_history(history.file_history(*R.commit_tables(spark, d), max_commits=-1))
+    return history.top_history(_history(spark, d))
 
 
 def _scored(spark, d):
@@ -272,7 +276,7 @@ def _scored(spark, d):
     symbols = R.part_symbols(spark, d).withColumn("kind", F.lit("function")).withColumn("line", F.regexp_extract("qname", r"#(\d+)$", 1).try_cast("int")).withColumn("line", F.coalesce("line", F.lit(1)))
     counts = graph.caller_counts(resolve.edges_of(_resolved(spark, d)))
     ranks = counts.select("qname", F.col("callers").cast("double").alias("rank"))
-    return ranking.scored_symbols(symbols, ranks, counts, history.file_history(*R.commit_tables(spark, d), max_commits=-1), 0.3)
+    return ranking.scored_symbols(symbols, ranks, counts, _history(spark, d), 0.3)
 
 
 _SCORED = """called AS (SELECT callee AS qname, count(DISTINCT caller_qname)::BIGINT AS callers FROM resolved WHERE callee IS NOT NULL AND callee <> caller_qname GROUP BY callee),
