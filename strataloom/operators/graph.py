@@ -31,6 +31,12 @@ def node_set(edges: DataFrame, symbols: DataFrame | None = None, tasks: int | No
     return (ends.repartition(tasks, "qname") if tasks else ends).distinct()
 
 
+def without_callers(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """qname of the ends of edges that no edge leads to: one sum over all ends."""
+    ends = edges.select(F.col("src").alias("qname"), F.lit(False).alias("called")).union(edges.select("dst", F.col("dst").isNotNull()))
+    return (ends.repartition(tasks, "qname") if tasks else ends).groupBy("qname").agg(F.max("called").alias("called")).where("NOT called").select("qname")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -64,8 +70,9 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     """(qname, distance): least number of hops from any of seeds(seed) in either direction; seeds at 0."""
-    both = materialised(edges.select("src", "dst").union(reverse(edges)).distinct())
-    start = seeds.select(F.col("seed").alias("qname")).distinct().withColumn("distance", F.lit(0))
+    edges = materialised(edges.select("src", "dst"))
+    both = edges.union(reverse(edges))
+    start = materialised(seeds.select(F.col("seed").alias("qname")).distinct().withColumn("distance", F.lit(0)))  # a file's size is known, so few seeds are broadcast
     out, frontier = start, start
     for depth in range(1, most + 1):
         step = frontier.join(both, frontier["qname"] == both["src"]).select(F.col("dst").alias("qname")).distinct()

@@ -123,7 +123,7 @@ SELECT q AS qname, min(h)::INTEGER AS distance FROM near GROUP BY q""",
     R.SUPPLY_EDGES,
 )
 def neighborhood(spark, d):
-    return graph.neighborhood(R.supply_edges(spark, d), _seeds(spark, "s1"))
+    return graph.neighborhood(R.supply_edges(spark, d, distinct=False), _seeds(spark, "s1"))
 
 
 @query(
@@ -162,7 +162,7 @@ def caller_counts(spark, d):
 
 @query("u1_node_set", "SELECT src AS qname FROM supply_edges UNION SELECT dst FROM supply_edges", False, R.SUPPLY_EDGES)
 def node_set(spark, d):
-    return graph.node_set(R.supply_edges(spark, d))
+    return graph.node_set(R.supply_edges(spark, d, distinct=False), tasks=R.supply_tasks(spark, d))
 
 
 @query(
@@ -494,8 +494,7 @@ def directory_map(spark, d):
 
 @query("j19_without_callers", "SELECT DISTINCT src AS qname FROM supply_edges WHERE src NOT IN (SELECT dst FROM supply_edges)", False, R.SUPPLY_EDGES)
 def without_callers(spark, d):
-    e = R.supply_edges(spark, d)
-    return graph.node_set(e).join(e.select(F.col("dst").alias("qname")), "qname", "left_anti")
+    return graph.without_callers(R.supply_edges(spark, d, distinct=False), R.supply_tasks(spark, d))
 
 
 # ---- texts and paths ----------------------------------------------------------------------------------
