@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.scalars import dirname, display
 from ..functions.storage import materialised
-from .graph import impact
+from .graph import counts_reached, each_reached, reached_masks, reverse
 
 HCL_LANGS = ("hcl", "terraform")
 
@@ -59,21 +59,22 @@ def extents(symbols: DataFrame) -> DataFrame:
 def touched(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """symbols whose extent overlaps a hunk(path, start, end) of their file, each once: an equi join on the file with the overlap as its residual."""
     h = hunks.select(F.col("path").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    s = extents(symbols)
+    s = extents(symbols.join(h.select("__p").distinct(), symbols["file"] == F.col("__p"), "left_semi"))  # of files with a hunk alone
     return s.join(h, (s["file"] == h["__p"]) & (h["__e"] >= s["line"]) & (s["last_line"].isNull() | (h["__s"] <= s["last_line"])), "left_semi")
 
 
 def changed_symbols(symbols: DataFrame, edges: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changed, impacted): touched reviewable symbols with direct_callers and impacted_count; and (seed, node, depth) behind the counts.
 
-    The closure is one loop over all seeds at once.
+    The closure is one loop over all seeds at once; the counts are made without its rows of a seed and a node.
     """
     changed = touched(symbols, hunks).where(P.is_reviewable(F.col("kind")))
-    behind = impact(edges, changed.select(F.col("qname").alias("seed")))
-    counts = behind.groupBy(F.col("seed").alias("qname")).agg(F.count("*").alias("impacted_count"), F.count_if(F.col("depth") == 1).alias("direct_callers"))
+    changed = materialised(changed)
+    masks, ids = reached_masks(reverse(edges), changed.select(F.col("qname").alias("seed")))
+    counts = counts_reached(masks, ids).withColumnRenamed("seed", "qname")
     rows = changed.join(counts, "qname", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("impacted_count", "direct_callers")})
-    return rows, behind
+    return rows, each_reached(masks, ids)
 
 
 def at_risk_tests(impacted: DataFrame, symbols: DataFrame) -> DataFrame:

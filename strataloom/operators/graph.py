@@ -15,6 +15,8 @@ from ..functions.storage import discard, materialised, tasks_for
 DAMPING, ROUNDS = 0.85, 50
 #: Edges and nodes together up to which PageRank runs in one task.
 ONE_TASK = 200_000
+#: Rows of a frontier up to which it is broadcast to the edges.
+BROADCAST_ROWS = 200_000
 #: Rounds of a larger graph that are kept apart by the length of their walks.
 APART = 8
 
@@ -44,23 +46,59 @@ def reverse(edges: DataFrame) -> DataFrame:
 def reached(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, node, depth >= 1) along edges from seeds(seed), all seeds in one loop of frontiers.
 
-    A seed is among its own nodes iff it lies on a cycle. most: greatest depth. Each round joins the
-    frontier alone with the edges and takes out what was seen; the driver asks whether rows are left.
+    A seed is among its own nodes iff it lies on a cycle. most: greatest depth.
+    """
+    return each_reached(*reached_masks(edges, seeds, most))
+
+
+def reached_masks(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((block, node, mask, depth), (seed, id)): what reached() says, up to 63 seeds in a row, each the bit id % 63 of block id / 63.
+
+    So an edge is followed once a round for all the seeds of a block that come to it at the same depth. Each round joins the
+    frontier alone with the edges and takes out the bits that were seen; the driver asks whether rows are left.
     """
     edges = materialised(edges.select("src", "dst"))  # read anew each round
-    frontier = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
-    seen, depth = None, 0
+    tasks = tasks_for(edges.sparkSession, edges.count())
+    ids = materialised(seeds.select("seed").distinct().withColumn("id", F.monotonically_increasing_id()))
+    frontier = materialised(ids.select(_block().alias("block"), F.col("seed").alias("node"), F.expr("shiftleft(1L, cast(id % 63 as int))").alias("mask")))
+    seen, depth, empty = None, 0, frontier.where("false").withColumn("depth", F.lit(0))
     while most is None or depth < most:
         depth += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        if frontier.count() <= BROADCAST_ROWS:
+            step = F.broadcast(frontier).join(edges, F.col("node") == F.col("src"))
+        else:
+            step = frontier.repartition(tasks, "node").hint("merge").join(edges.repartition(tasks, "src"), F.col("node") == F.col("src"))
+        step = step.select("block", F.col("dst").alias("node"), "mask").groupBy("block", "node").agg(F.bit_or("mask").alias("mask"))
         if seen is not None:
-            step = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+            before = seen.groupBy("block", "node").agg(F.bit_or("mask").alias("before"))
+            step = step.join(before.withColumnRenamed("block", "b").withColumnRenamed("node", "n"), (F.col("block") == F.col("b")) & (F.col("node").eqNullSafe(F.col("n"))), "left")
+            step = step.select("block", "node", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long")))).alias("mask")).where("mask <> 0")
         step = materialised(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
         seen = step if seen is None else materialised(seen.unionByName(step)) if depth % 8 == 0 else seen.unionByName(step)
-        frontier = step.select("seed", "node")
-    return seen if seen is not None else frontier.where("false").withColumn("depth", F.lit(0))
+        frontier = step.select("block", "node", "mask")
+    return (seen if seen is not None else empty), ids
+
+
+def _block():
+    return F.expr("id div 63")
+
+
+def each_reached(masks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(seed, node, depth) of reached_masks."""
+    bits = F.expr("filter(sequence(0, 62), b -> (mask & shiftleft(1L, b)) <> 0)")
+    rows = masks.select("node", "depth", "block", F.explode(bits).alias("bit")).select((F.col("block") * 63 + F.col("bit")).alias("id"), "node", "depth")
+    return rows.join(ids, "id").select("seed", "node", "depth")
+
+
+def counts_reached(masks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(seed, impacted_count, direct_callers) of reached_masks, without a row for each seed and node."""
+    at = lambda b: F.col("mask").bitwiseAND(F.lit(1 << b).cast("long")) != 0
+    sums = [F.array(*(F.count_if(at(b)) for b in range(63))).alias("all"), F.array(*(F.count_if(at(b) & (F.col("depth") == 1)) for b in range(63))).alias("near")]
+    rows = masks.groupBy("block").agg(*sums).select("block", F.posexplode(F.arrays_zip("all", "near")).alias("bit", "n"))
+    rows = rows.select((F.col("block") * 63 + F.col("bit")).alias("id"), F.col("n.all").alias("impacted_count"), F.col("n.near").alias("direct_callers"))
+    return rows.where("impacted_count > 0").join(ids, "id").select("seed", "impacted_count", "direct_callers")
 
 
 def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -95,6 +95,18 @@ def test_impact_equals_closure_on_random_graphs(spark):
     assert got == want
 
 
+def test_reached_follows_an_edge_once_for_all_seeds(spark):
+    """130 seeds that all lead through one edge: three rows, one for each 63 of them, and the counts of each."""
+    e = edges_of(spark, [(f"s{k}", "m") for k in range(130)] + [("m", "x"), ("x", "y"), ("y", "x"), ("s0", "z")])
+    masks, ids = graph.reached_masks(e, seeds_of(spark, *(f"s{k}" for k in range(130))).coalesce(1))
+    assert masks.where("node = 'y'").count() == ids.select((F.col("id") / 63).cast("long")).distinct().count() and ids.count() == 130
+    counts = {r.seed: (r.impacted_count, r.direct_callers) for r in graph.counts_reached(masks, ids).collect()}
+    assert counts == {f"s{k}": (3, 1) for k in range(1, 130)} | {"s0": (4, 2)}
+    assert graph.each_reached(masks, ids).count() == 391
+    one = graph.reached(e, seeds_of(spark, "x"))
+    assert sorted(map(tuple, one.collect())) == [("x", "x", 2), ("x", "y", 1)]
+
+
 def test_trace_order_and_cut(spark):
     e = edges_of(spark, [("a", "b"), ("a", "c"), ("b", "c")])
     rows, cut = graph.trace(e, seeds_of(spark, "a"), 1)
