@@ -197,8 +197,12 @@ def pattern_symbols(files: DataFrame) -> DataFrame:
 _UNREADABLE = (ValueError, SyntaxError, KeyError, IndexError, TypeError, AttributeError, RecursionError)
 
 
+#: Rows of parsed files that a worker holds, give or take one file's, before it hands them on.
+ROWS_AT_ONCE = 2_000
+
+
 def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema: str, broken: Callable[[str, str], list[tuple]] | None = None) -> DataFrame:
-    """Rows that parse(path, content) makes of each file, a pandas batch at a time.
+    """Rows that parse(path, content) makes of each file. A batch of files is handed on in parts, so rows never pile up with its size.
 
     A file that breaks the parser gives the rows of broken(path, message), else none; unreadable() tells which.
     """
@@ -215,6 +219,9 @@ def per_file(files: DataFrame, parse: Callable[[str, str], list[tuple]], schema:
                     rows += parse(path, content or "")
                 except _UNREADABLE as e:
                     rows += broken(path, f"{type(e).__name__}: {e}") if broken else []
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, kind)

@@ -414,3 +414,20 @@ def test_cargo_metadata(spark, tmp_path):
 def test_stats(spark):
     s = repo(spark, APP).stats()
     assert s == {"files": 2, "langs": ["go"], "definitions": 4, "edges": 3, "unresolved": 0}
+
+
+def test_parsed_rows_are_handed_on_in_parts(spark):
+    """5,000 files of three rows in one batch: no more than about 2,000 rows at a time, and none is lost."""
+    import pandas as pd
+
+    from strataloom.sources import files
+
+    class Batches:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return list(run(iter([pd.DataFrame({"path": [f"f{k}" for k in range(5000)], "content": ["x"] * 5000})])))
+
+    parts = files.per_file(Batches(), lambda path, content: [(path, n) for n in range(3)], "path string, n int")
+    assert sum(map(len, parts)) == 15_000 and max(map(len, parts)) <= 2_002
